@@ -55,3 +55,25 @@ def near_sums(df: DataFrame, keys: list[str], ts_us: str, width_us: int, value:
         .withColumn("around", F.sum(value).over(w.rangeBetween(-width_us, width_us)))
         .filter("__home").drop("__b", "__home")
     )
+
+
+def previous_value(
+    df: DataFrame, keys: list[str], order: list[str], chunk_of: Column, value: Column, out: str
+) -> DataFrame:
+    """Adds `out`, the value of the row just before this one within the key (NULL for the first).
+
+    The predecessor of a chunk's first row is the last row of the nearest earlier chunk, taken from
+    one pre-aggregated row per chunk.
+    """
+    rows = df.withColumn("__chunk", chunk_of).withColumn("__v", F.struct(value.alias("v")))
+    per_key = Window.partitionBy(*keys).orderBy("__chunk")
+    chunks = (
+        rows.groupBy(*keys, "__chunk").agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+        .withColumn("__before", F.lag("__last").over(per_key)).drop("__last")
+    )
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    return (
+        rows.withColumn("__in", F.lag("__v").over(inside)).join(chunks, [*keys, "__chunk"])
+        .withColumn(out, F.coalesce("__in", "__before")["v"])
+        .drop("__chunk", "__v", "__in", "__before")
+    )

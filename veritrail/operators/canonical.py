@@ -132,11 +132,8 @@ def fold_payments_in_order(normalized: DataFrame) -> DataFrame:
     )
 
 
-def extract_evidence(normalized: DataFrame) -> DataFrame:
-    """Explode each event into its observations; a NULL field yields no row.
-
-    Ids are event_id * 16 + slot, so they need no global numbering.
-    """
+def evidence_items(normalized: DataFrame) -> DataFrame:
+    """Adds `items`: the observations of the event as an array; a NULL field yields no entry."""
     pay = F.col("payment_id").isNotNull() & (F.col("payment_id") != "")
     order = (F.col("entity_type") == "order") & _truthy("order_id")
 
@@ -152,7 +149,7 @@ def extract_evidence(normalized: DataFrame) -> DataFrame:
 
     pid, oid = F.col("payment_id"), F.col("order_id")
     amount = F.col("amount_minor").cast("string")
-    items = F.array_compact(F.array(
+    return normalized.withColumn("items", F.array_compact(F.array(
         item(0, "PAYMENT_EVENT", "payment", pid, F.col("event_type"), "ENUM", pay),
         item(1, "PAYMENT_STATUS", "payment", pid, derive_status(F.col("event_type")), "ENUM", pay),
         item(2, "PAYMENT_AMOUNT", "payment", pid, amount, "INTEGER_MINOR_UNITS", pay),
@@ -162,12 +159,21 @@ def extract_evidence(normalized: DataFrame) -> DataFrame:
         item(6, "ORDER_STATUS", "order", oid, F.lit("paid"), "ENUM", order),
         item(7, "ORDER_AMOUNT", "order", oid, amount, "INTEGER_MINOR_UNITS", order),
         item(8, "ORDER_CURRENCY", "order", oid, F.col("currency"), "STRING", order),
-    ))
+    )))
+
+
+def extract_evidence(normalized: DataFrame) -> DataFrame:
+    """Explode each event into its observations.
+
+    Ids are event_id * 16 + slot, so they need no global numbering.
+    """
+    pid = F.col("payment_id")
+    pay = pid.isNotNull() & (pid != "")
     provenance = F.when(
         (F.col("e.subject_type") == "order") & (F.col("k") % 2 == 0),
         F.concat(F.lit('{"payment_id":"'), pid, F.lit('"}')),
     )
-    return normalized.withColumn("e", F.explode(items)).select(
+    return evidence_items(normalized).withColumn("e", F.explode("items")).select(
         (F.col("event_id") * 16 + F.col("e.slot")).alias("evidence_id"),
         "e.evidence_type", "e.subject_type", "e.subject_id", "e.value", "e.value_type",
         "source_type", F.col("event_id").cast("string").alias("source_reference"),

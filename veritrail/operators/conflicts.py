@@ -45,7 +45,8 @@ def _status_pairs(points: Column) -> Column:
 def status_points(claims: DataFrame, *more: Column) -> DataFrame:
     is_status = (F.col("claim_type") == "PAYMENT_STATUS") & (F.col("claim_key") == "STATUS")
     point = F.struct("earliest_us", "claim_id", F.col("canonical_value").alias("value"))
-    return claims.groupBy("payment_id").agg(
+    keys = [k for k in ("payment_id", "eval_us") if k in claims.columns]
+    return claims.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(is_status, point))).alias("points"), *more
     )
 
@@ -110,8 +111,9 @@ def conflict_profile(payment_claims: DataFrame) -> DataFrame:
     )
     pairs = _status_pairs(F.col("points"))
     n_of = lambda name: F.size(F.filter("pairs", lambda c: c["conflict_type"] == name)).cast("bigint")
+    keys = [k for k in ("payment_id", "eval_us") if k in agg.columns]
     return agg.withColumn("pairs", pairs).select(
-        "payment_id", "claim_count", "multi_observation_claims", "multi_source_claims",
+        *keys, "claim_count", "multi_observation_claims", "multi_source_claims",
         n_of("STATE_CONFLICT").alias("state_conflicts"),
         n_of("TEMPORAL_CONFLICT").alias("temporal_conflicts"),
         n_of("ORDERING_AMBIGUITY").alias("ordering_ambiguities"),

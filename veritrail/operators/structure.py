@@ -148,3 +148,22 @@ def structure_snapshot(scoped: DataFrame) -> DataFrame:
         F.coalesce("multi_source_claim_count", zero).alias("multi_source_claim_count"),
         "sources_breakdown",
     )
+
+
+def claim_support(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Support of each claim: observations, distinct sources, first-per-source ones, and
+    dependency edges with both ends in the claim.
+
+    Edges only join observations of one event, so the pairing joins on evidence ids, never on the
+    claim as a whole.
+    """
+    per_source = rows.groupBy("claim_id", "source_type", "source_reference").agg(F.count("*").alias("n"))
+    support = per_source.groupBy("claim_id").agg(
+        F.sum("n").alias("total_support"), F.count_distinct("source_type").alias("independent_support"),
+        F.count("*").alias("first_per_source"))
+    a = rows.select(F.col("evidence_id").alias("source_id"), F.col("claim_id").alias("ca"))
+    b = rows.select(F.col("evidence_id").alias("target_id"), F.col("claim_id").alias("cb"))
+    inner = edges.select("source_id", "target_id").join(a, "source_id").join(b, "target_id").filter("ca = cb")
+    deps = inner.groupBy(F.col("ca").alias("claim_id")).agg(F.count("*").alias("dependency_count"))
+    return support.join(deps, "claim_id", "left").withColumn(
+        "dependency_count", F.coalesce("dependency_count", F.lit(0).cast("bigint")))

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, facts, structure
+from veritrail.operators import canonical, conflicts, coverage, facts, integrity, reliability, structure
 from veritrail.sources import driver_tables
 
 
@@ -97,3 +97,36 @@ class Frames:
     @cached_property
     def facts(self) -> DataFrame:
         return facts.build_facts(self.fact_rows)
+
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return structure.structure_scope(self.observations)
+
+    @cached_property
+    def conflict_profile(self) -> DataFrame:
+        return conflicts.conflict_profile(self.payment_claims)
+
+    @cached_property
+    def coverage_flags(self) -> DataFrame:
+        return coverage.payment_flags(self.payments, self.facts, self.payment_obs, self.conflict_profile)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return coverage.coverage_results(self.coverage_flags)
+
+    @cached_property
+    def fact_reliability(self) -> DataFrame:
+        found = self.conflict_profile.select("payment_id", F.col("conflict_count").alias("n"))
+        return reliability.fact_reliability(self.fact_rows, found)
+
+    @cached_property
+    def dimensions_now(self) -> DataFrame:
+        return integrity.dimensions(self.scoped, self.payment_claims, (T_EVAL,))
+
+    @cached_property
+    def integrity_now(self) -> DataFrame:
+        return integrity.integrity(self.dimensions_now)
+
+    @cached_property
+    def integrity_history(self) -> DataFrame:
+        return integrity.integrity(integrity.dimensions(self.scoped, self.payment_claims, EVAL_POINTS))

@@ -31,18 +31,20 @@ def hmac_sha256(secret: str, body: Column) -> Column:
     return F.sha2(F.concat(outer, digest), 256)
 
 
-def freshness_policy(evidence_type: Column) -> Column:
-    return lookup(evidence_type, V.FRESHNESS_POLICY_OF, "DEFAULT")
+def freshness_policy() -> Column:
+    return lookup("evidence_type", V.FRESHNESS_POLICY_OF, "DEFAULT")
 
 
-def freshness_state(evidence_type: Column, observed_us: Column, at_us) -> Column:
+def _threshold(which: int) -> Column:
+    per_type = {t: V.FRESHNESS_POLICY[p][which] * 1_000_000 for t, p in V.FRESHNESS_POLICY_OF.items()}
+    return lookup("evidence_type", per_type, V.FRESHNESS_POLICY["DEFAULT"][which] * 1_000_000)
+
+
+def freshness_state(observed_us: Column, at_us) -> Column:
     age = at_us - observed_us
-    policy = freshness_policy(evidence_type)
-    fresh = lookup(policy, {p: c * 1_000_000 for p, (c, _) in V.FRESHNESS_POLICY.items()})
-    stale = lookup(policy, {p: s * 1_000_000 for p, (_, s) in V.FRESHNESS_POLICY.items()})
     return (
-        F.when(observed_us.isNull() | (age < 0), "UNKNOWN")
-        .when(age < fresh, "CURRENT").when(age < stale, "AGING").otherwise("STALE")
+        F.when(observed_us.isNull() | (age < 0), "UNKNOWN").when(age < _threshold(0), "CURRENT")
+        .when(age < _threshold(1), "AGING").otherwise("STALE")
     )
 
 

@@ -13,11 +13,11 @@ from veritrail.sources.driver_tables import lookup
 FOLD_CHUNK_US = 3_600_000_000
 
 
-def event_status(event_type) -> F.Column:
+def event_status(event_type: str):
     return lookup(event_type, V.EVENT_STATUS, "unknown")
 
 
-def derive_status(event_type):
+def derive_status(event_type: str):
     return lookup(event_type, V.EVENT_STATUS)
 
 
@@ -28,7 +28,7 @@ def normalize_events(events: DataFrame) -> DataFrame:
         "*",
         F.when(is_order, "order").otherwise("payment").alias("entity_type"),
         F.when(is_order, F.col("order_id")).otherwise(F.col("payment_id")).alias("entity_id"),
-        event_status(F.col("event_type")).alias("status"),
+        event_status("event_type").alias("status"),
     )
 
 
@@ -87,7 +87,7 @@ def fold_payments(normalized: DataFrame) -> DataFrame:
         "payment_id", "order_id", "customer_id", "amount_minor", "currency", "method", "status",
         "received_at", "event_id",
         F.coalesce("observed_at", "received_at").alias("event_time"),
-        lookup(F.col("status"), V.STATUS_RANK, 0).alias("rank"),
+        lookup("status", V.STATUS_RANK, 0).alias("rank"),
     )
     ev = prefix_before(
         ev, ["payment_id"], ["received_at", "event_id"],
@@ -125,41 +125,45 @@ FILLED = ("order_id", "customer_id", "amount_minor", "currency", "method")
 
 def fold_payments_in_order(normalized: DataFrame) -> DataFrame:
     """Status when events arrive in event order: a single partial aggregate, no running maximum."""
-    rank = lookup(F.col("status"), V.STATUS_RANK, 0)
+    rank = lookup("status", V.STATUS_RANK, 0)
     return normalized.filter(_truthy("payment_id")).groupBy("payment_id").agg(
         F.max_by("status", F.struct(rank, F.col("observed_at"), F.col("event_id"))).alias("status"),
         F.count("*").alias("event_count"),
     )
 
 
-def evidence_items(normalized: DataFrame) -> DataFrame:
-    """Adds `items`: the observations of the event as an array; a NULL field yields no entry."""
-    pay = F.col("payment_id").isNotNull() & (F.col("payment_id") != "")
-    order = (F.col("entity_type") == "order") & _truthy("order_id")
-
-    def item(slot, etype, subject, subject_id, value, vtype, cond):
-        return F.when(
-            cond & value.isNotNull(),
-            F.struct(
-                F.lit(slot).alias("slot"), F.lit(etype).alias("evidence_type"),
-                F.lit(subject).alias("subject_type"), subject_id.alias("subject_id"),
-                value.alias("value"), F.lit(vtype).alias("value_type"),
-            ),
-        )
-
-    pid, oid = F.col("payment_id"), F.col("order_id")
-    amount = F.col("amount_minor").cast("string")
-    return normalized.withColumn("items", F.array_compact(F.array(
-        item(0, "PAYMENT_EVENT", "payment", pid, F.col("event_type"), "ENUM", pay),
-        item(1, "PAYMENT_STATUS", "payment", pid, derive_status(F.col("event_type")), "ENUM", pay),
-        item(2, "PAYMENT_AMOUNT", "payment", pid, amount, "INTEGER_MINOR_UNITS", pay),
-        item(3, "PAYMENT_CURRENCY", "payment", pid, F.col("currency"), "STRING", pay),
-        item(4, "PAYMENT_METHOD", "payment", pid, F.col("method"), "ENUM", pay),
-        item(5, "PAYMENT_ORDER_RELATIONSHIP", "payment", pid, oid, "STRING", pay & _truthy("order_id")),
-        item(6, "ORDER_STATUS", "order", oid, F.lit("paid"), "ENUM", order),
-        item(7, "ORDER_AMOUNT", "order", oid, amount, "INTEGER_MINOR_UNITS", order),
-        item(8, "ORDER_CURRENCY", "order", oid, F.col("currency"), "STRING", order),
-    )))
+# slot -> evidence type, value type; slots 0-5 describe the payment, 6-8 the order
+SLOTS = (
+    ("PAYMENT_EVENT", "ENUM"), ("PAYMENT_STATUS", "ENUM"), ("PAYMENT_AMOUNT", "INTEGER_MINOR_UNITS"),
+    ("PAYMENT_CURRENCY", "STRING"), ("PAYMENT_METHOD", "ENUM"), ("PAYMENT_ORDER_RELATIONSHIP", "STRING"),
+    ("ORDER_STATUS", "ENUM"), ("ORDER_AMOUNT", "INTEGER_MINOR_UNITS"), ("ORDER_CURRENCY", "STRING"),
+)
+FIRST_ORDER_SLOT = 6
+_ABOUT_ORDER = "entity_type = 'order' AND order_id <> ''"
+_SLOT_VALUES = (
+    ("payment_id <> ''", "event_type"), ("payment_id <> ''", "status"),
+    ("payment_id <> ''", "CAST(amount_minor AS STRING)"), ("payment_id <> ''", "currency"),
+    ("payment_id <> ''", "method"), ("payment_id <> '' AND order_id <> ''", "order_id"),
+    (_ABOUT_ORDER, "'paid'"), (_ABOUT_ORDER, "CAST(amount_minor AS STRING)"), (_ABOUT_ORDER, "currency"),
+)
+
+
+def slot_rows(normalized: DataFrame) -> DataFrame:
+    """One row per observation slot the event fills; a NULL field fills none.
+
+    Exploding a constant slot list and picking the value by slot keeps the generated code small.
+    """
+    value = "CASE slot " + " ".join(
+        f"WHEN {i} THEN CASE WHEN {cond} THEN {v} END" for i, (cond, v) in enumerate(_SLOT_VALUES)) + " END"
+    rows = normalized.withColumn("slot", F.explode(F.expr("sequence(0, 8)")))
+    return rows.withColumn("slot_value", F.expr(value)).filter("slot_value IS NOT NULL")
+
+
+def slots_of(normalized: DataFrame) -> DataFrame:
+    """Adds `slots`, the filled slots of the event as a short array."""
+    present = ", ".join(
+        f"CASE WHEN {cond} AND {v} IS NOT NULL THEN {i} END" for i, (cond, v) in enumerate(_SLOT_VALUES))
+    return normalized.withColumn("slots", F.expr(f"array_compact(array({present}))"))
 
 
 def extract_evidence(normalized: DataFrame) -> DataFrame:
@@ -167,23 +171,21 @@ def extract_evidence(normalized: DataFrame) -> DataFrame:
 
     Ids are event_id * 16 + slot, so they need no global numbering.
     """
-    pid = F.col("payment_id")
-    pay = pid.isNotNull() & (pid != "")
-    provenance = F.when(
-        (F.col("e.subject_type") == "order") & (F.col("k") % 2 == 0),
-        F.concat(F.lit('{"payment_id":"'), pid, F.lit('"}')),
-    )
-    return evidence_items(normalized).withColumn("e", F.explode("items")).select(
-        (F.col("event_id") * 16 + F.col("e.slot")).alias("evidence_id"),
-        "e.evidence_type", "e.subject_type", "e.subject_id", "e.value", "e.value_type",
-        "source_type", F.col("event_id").cast("string").alias("source_reference"),
-        "event_type",
-        F.col("event_id").alias("webhook_event_id"),
-        F.when(pay, F.col("event_id")).alias("payment_event_id"),
-        F.coalesce("observed_at", "received_at").alias("observed_at"),
-        us(F.coalesce("observed_at", "received_at")).alias("observed_us"),
-        us("expires_at").alias("valid_until_us"),
-        provenance.alias("provenance"),
+    names = ", ".join(f"'{t}'" for t, _ in SLOTS)
+    kinds = ", ".join(f"'{v}'" for _, v in SLOTS)
+    order = f"slot >= {FIRST_ORDER_SLOT}"
+    return slot_rows(normalized).selectExpr(
+        "event_id * 16 + slot AS evidence_id",
+        f"element_at(array({names}), slot + 1) AS evidence_type",
+        f"IF({order}, 'order', 'payment') AS subject_type",
+        f"IF({order}, order_id, payment_id) AS subject_id",
+        "slot_value AS value", f"element_at(array({kinds}), slot + 1) AS value_type",
+        "source_type", "CAST(event_id AS STRING) AS source_reference", "event_type",
+        "event_id AS webhook_event_id", "IF(payment_id <> '', event_id, NULL) AS payment_event_id",
+        "coalesce(observed_at, received_at) AS observed_at",
+        "unix_micros(coalesce(observed_at, received_at)) AS observed_us",
+        "unix_micros(expires_at) AS valid_until_us",
+        f"""IF({order} AND k % 2 = 0, concat('{{"payment_id":"', payment_id, '"}}'), NULL) AS provenance""",
     )
 
 

@@ -27,10 +27,9 @@ FACT_KEYS = ["payment_id", "fact_type", "canonical_value"]
 
 
 def fact_type() -> Column:
-    etype = F.col("evidence_type")
     return F.coalesce(
-        lookup(etype, V.FACT_OF_ATTRIBUTE),
-        lookup(F.col("event_type"), V.FACT_OF_EVENT),
+        lookup("evidence_type", V.FACT_OF_ATTRIBUTE),
+        lookup("event_type", V.FACT_OF_EVENT),
         F.lit("PAYMENT_STATUS_OBSERVED"),
     )
 

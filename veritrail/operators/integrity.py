@@ -28,7 +28,7 @@ def evidence_profile(scoped: DataFrame, points) -> DataFrame:
     usable = (F.col("subject_type") == "payment") & (F.col("valid_until_us").isNull() | (F.col("valid_until_us") > at))
     rows = at_points(scoped, points).select(
         *KEY, "payment_event_id", "source_type", usable.alias("u"),
-        E.freshness_state(F.col("evidence_type"), F.col("observed_us"), at).alias("fresh"),
+        E.freshness_state(F.col("observed_us"), at).alias("fresh"),
         E.authority(F.col("source_type")).alias("auth"),
         E.directness(F.col("source_type"), F.col("evidence_type")).alias("direct"),
     )

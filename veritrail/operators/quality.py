@@ -10,11 +10,11 @@ from veritrail.functions import expr as E
 
 def freshness(obs: DataFrame, at_us) -> DataFrame:
     at = at_us if not isinstance(at_us, int) else F.lit(at_us)
-    t, o = F.col("evidence_type"), F.col("observed_us")
+    o = F.col("observed_us")
     return obs.select(
-        "*", E.freshness_policy(t).alias("freshness_policy_key"),
+        "*", E.freshness_policy().alias("freshness_policy_key"),
         F.when(o <= at, (at - o) / 1_000_000).alias("age_seconds"),
-        E.freshness_state(t, o, at).alias("freshness_state"),
+        E.freshness_state(o, at).alias("freshness_state"),
     )
 
 

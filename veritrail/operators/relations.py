@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import vocab as V
 from veritrail.functions.expr import pairs_of
-from veritrail.operators.canonical import evidence_items
+from veritrail.operators.canonical import SLOTS, slots_of
 
 
 def event_edges(normalized: DataFrame) -> DataFrame:
     """Edges inside one event, from its own row: an event yields at most nine observations."""
-    has_payment = F.col("payment_id").isNotNull() & (F.col("payment_id") != "")
-    events = evidence_items(normalized).select(
-        F.when(has_payment, F.col("event_id")).alias("payment_event_id"), F.col("event_id").alias("webhook_event_id"),
-        F.transform("items", lambda x: F.struct(
-            (F.col("event_id") * 16 + x["slot"]).alias("evidence_id"), x["evidence_type"].alias("evidence_type"))).alias("m"))
+    types = F.array(*[F.lit(t) for t, _ in SLOTS])
+    events = slots_of(normalized).select(
+        F.expr("IF(payment_id <> '', event_id, NULL)").alias("payment_event_id"), F.col("event_id").alias("webhook_event_id"),
+        F.transform("slots", lambda x: F.struct(
+            (F.col("event_id") * 16 + x).alias("evidence_id"), F.element_at(types, x + 1).alias("evidence_type"))).alias("m"))
     m = F.col("m")
 
     def edge(a, b, kind, field, value):
@@ -57,7 +57,7 @@ def payment_memberships(payment_obs: DataFrame) -> DataFrame:
     j = payment_obs.select("payment_id", "webhook_event_id", "evidence_id").join(sizes, ["payment_id", "webhook_event_id"])
     kinds = F.array(
         F.struct(F.lit("SAME_PAYMENT").alias("relationship_type"), (F.col("n") - 1).alias("partners")),
-        F.struct(F.lit("INDEPENDENCE_CANDIDATE"), F.col("with_event") - F.col("in_event")),
+        F.struct(F.lit("INDEPENDENCE_CANDIDATE").alias("relationship_type"), (F.col("with_event") - F.col("in_event")).alias("partners")),
     )
     return j.select("payment_id", "evidence_id", F.explode(kinds).alias("k")).select(
         "payment_id", "evidence_id", "k.*").filter("partners > 0")

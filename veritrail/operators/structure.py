@@ -14,7 +14,7 @@ CLAIM_KEYS = ["subject_type", "subject_id", "claim_type", "claim_key", "canonica
 
 def claim_rows(observations: DataFrame) -> DataFrame:
     """Each observation with the proposition it supports; blank values support none."""
-    etype = F.col("evidence_type")
+    etype = "evidence_type"
     how = lookup(etype, {t: c[2] for t, c in V.CLAIM_OF.items()})
     value = F.trim("value")
     rows = observations.filter(F.col("value").isNotNull() & (F.col("value") != "") & how.isNotNull())
@@ -61,7 +61,7 @@ def corroboration(claims: DataFrame) -> DataFrame:
         kind.alias("corroboration_type"),
     ).withColumn(
         "independence_status",
-        lookup(F.col("corroboration_type"), {
+        lookup("corroboration_type", {
             "SINGLE_OBSERVATION": "UNKNOWN", "MULTI_SOURCE_CORROBORATION": "INDEPENDENT_CANDIDATE",
             "TEMPORAL_CORROBORATION": "DEPENDENT", "SAME_SOURCE_CORROBORATION": "SAME_SOURCE",
         }),

@@ -553,7 +553,6 @@ for _dim, _extra in (
     ("consistency", ["conflict_count", "open_conflict_count"]),
 ):
     def _plan(f, dim=_dim, extra=tuple(_extra)):
-        fix = {"distinct_sources": 0, "distinct_events": 0}
         return f.dimensions_now.select("payment_id", F.col(dim).alias("status"), *extra)
     query(f"integrity_{_dim}", f"SELECT payment_id, {_dim} AS status, {', '.join(_extra)} FROM v_dims {_NOW}")(_plan)
 
@@ -573,11 +572,11 @@ SELECT payment_id, array_to_string(list_filter([
    CASE source WHEN 'STRONG' THEN 'primary direct source' WHEN 'LIMITED' THEN 'secondary or derived source' WHEN 'WEAK' THEN 'tertiary source present' END,
    CASE corroboration WHEN 'STRONGLY_CORROBORATED' THEN multi_source_claims || ' claims from several sources' WHEN 'PARTIALLY_CORROBORATED' THEN 'repeated by one source' WHEN 'SINGLE_OBSERVATION' THEN 'each claim observed once' END,
    CASE consistency WHEN 'NO_DETECTED_CONFLICT' THEN 'no conflict detected' WHEN 'ORDERING_AMBIGUITY_ONLY' THEN 'ordering ambiguity only' WHEN 'HAS_OPEN_CONFLICTS' THEN open_conflict_count || ' open conflicts' END,
-   CASE independence WHEN 'SINGLE_SOURCE' THEN 'single event' WHEN 'LIMITED_SOURCE_DIVERSITY' THEN 'limited source diversity' WHEN 'UNKNOWN' THEN 'diversity not assessed' END], x -> x IS NOT NULL), '; ') AS explanation,
+   CASE independence WHEN 'SINGLE_SOURCE' THEN 'single event' WHEN 'LIMITED_SOURCE_DIVERSITY' THEN 'limited source diversity' WHEN 'UNKNOWN' THEN 'diversity not assessed' END], lambda x : x IS NOT NULL), '; ') AS explanation,
   array_to_string(list_filter(['no outcome history',
    CASE WHEN independence IN ('SINGLE_SOURCE', 'LIMITED_SOURCE_DIVERSITY') THEN 'limited diversity: ' || distinct_sources || ' sources, ' || distinct_events || ' events' END,
    CASE corroboration WHEN 'UNKNOWN' THEN 'corroboration not assessed' WHEN 'SINGLE_OBSERVATION' THEN 'no independent corroboration' END,
-   CASE independence WHEN 'UNKNOWN' THEN 'independence not assessed' END], x -> x IS NOT NULL), '; ') AS limitations
+   CASE independence WHEN 'UNKNOWN' THEN 'independence not assessed' END], lambda x : x IS NOT NULL), '; ') AS limitations
 FROM v_dims {_NOW}""")
 def _(f):
     return f.integrity_now.select(

@@ -173,14 +173,14 @@ def _(f):
 SELECT event_type, coalesce(CASE event_type WHEN 'payment.authorized' THEN 'authorized' WHEN 'payment.captured' THEN 'captured'
   WHEN 'payment.failed' THEN 'failed' WHEN 'order.paid' THEN 'paid' END, 'unknown') AS status, count(*) AS n FROM v_ev GROUP BY ALL""")
 def _(f):
-    return f.events.groupBy("event_type", canonical.event_status(F.col("event_type")).alias("status")).agg(F.count("*").alias("n"))
+    return f.events.groupBy("event_type", canonical.event_status("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("derive_status", """
 SELECT event_type, CASE event_type WHEN 'payment.authorized' THEN 'authorized' WHEN 'payment.captured' THEN 'captured'
   WHEN 'payment.failed' THEN 'failed' WHEN 'order.paid' THEN 'paid' END AS status, count(*) AS n FROM v_ev GROUP BY ALL""")
 def _(f):
-    return f.events.groupBy("event_type", canonical.derive_status(F.col("event_type")).alias("status")).agg(F.count("*").alias("n"))
+    return f.events.groupBy("event_type", canonical.derive_status("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("fold_customers", """

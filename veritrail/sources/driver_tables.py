@@ -20,17 +20,33 @@ EVENT_TYPE_MAP = {
 FAILURE_KEYS = tuple(FAILURE_SEVERITY)
 
 
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(col: Column, mapping: dict, default=None) -> Column:
-    """Literal lookup as one CASE chain; stays inside whole-stage codegen."""
-    out = None
-    for key, value in mapping.items():
-        cond = col == F.lit(key)
-        out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    return out if default is None else out.otherwise(default)
+def spread(df: DataFrame, file_bytes: int | None = None) -> DataFrame:
+    """Deal a narrow input out over the cores when it is too small to fill them by itself.
+
+    A file below the limit is read by one or two tasks, and everything up to the first shuffle
+    would run there. Larger inputs already split into enough tasks and are left alone.
+    """
+    size = file_bytes if file_bytes is not None else int(str(
+        df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def lookup(col: str, mapping: dict, default=None) -> Column:
+    """Literal lookup as one CASE, parsed in one call and compiled with the rest of the stage."""
+    def lit(x):
+        return str(x) if isinstance(x, (int, float)) else f"'{x}'"
+    arms = " ".join(f"WHEN {lit(key)} THEN {lit(value)}" for key, value in mapping.items())
+    tail = "" if default is None else f" ELSE {lit(default)}"
+    return F.expr(f"CASE {col} {arms}{tail} END")
 
 
 def seconds(col: Column) -> Column:
@@ -45,7 +61,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("observed_at"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return shape_events(raw)
+    return shape_events(spread(raw))
 
 
 def shape_events(raw: DataFrame) -> DataFrame:
@@ -60,7 +76,7 @@ def shape_events(raw: DataFrame) -> DataFrame:
     return raw.select(
         "event_id", "k",
         F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("provider_event_id"),
-        lookup(F.col("raw_type"), EVENT_TYPE_MAP).alias("event_type"),
+        lookup("raw_type", EVENT_TYPE_MAP).alias("event_type"),
         F.concat(F.lit("pay_"), user, F.lit("_"), F.date_format("observed_at", "yyyyMMdd")).alias("payment_id"),
         F.when(k % 11 != 0, F.concat(F.lit("order_"), user, F.lit("_"), (k % 3).cast("string"))).alias("order_id"),
         F.concat(F.lit("cust_"), user).alias("customer_id"),

@@ -278,10 +278,7 @@ SELECT payment_id, conflict_type, severity, count(*) AS n FROM v_conflict_pairs
 @query("conflicts", "SELECT payment_id, conflict_type, severity, n AS conflict_count FROM v_conflict_counts")
 def _(f):
     """All conflicts of every payment by type; the open-ended ones are counted from set sizes."""
-    s = f.status_conflicts.groupBy("payment_id", "conflict_type", "severity").agg(F.count("*").alias("conflict_count"))
-    v = conflicts.conflict_sets(f.payment_claims).groupBy("payment_id", "conflict_type", "severity").agg(
-        F.sum("conflict_count").alias("conflict_count"))
-    return s.unionByName(v)
+    return f.conflicts_by_type.withColumnRenamed("n", "conflict_count")
 
 
 view("v_profile", """

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, coverage, facts, integrity, reliability, structure
+from veritrail.operators import canonical, conflicts, coverage, facts, integrity, ops, reliability, risk, structure
 from veritrail.sources import driver_tables
 
 
@@ -130,3 +130,50 @@ class Frames:
     @cached_property
     def integrity_history(self) -> DataFrame:
         return integrity.integrity(integrity.dimensions(self.scoped, self.payment_claims, EVAL_POINTS))
+
+    @cached_property
+    def order_payments(self) -> DataFrame:
+        return driver_tables.order_payments(self.spark, self.sf_dir)
+
+    @cached_property
+    def all_payments(self) -> DataFrame:
+        return self.payments.select("payment_id", "amount_minor").unionByName(
+            self.order_payments.select("payment_id", "amount_minor"))
+
+    @cached_property
+    def evidence_totals(self) -> DataFrame:
+        return risk.evidence_totals(self.payment_obs)
+
+    @cached_property
+    def conflicts_by_type(self) -> DataFrame:
+        single = self.status_conflicts.groupBy("payment_id", "conflict_type", "severity").agg(F.count("*").alias("n"))
+        sets = conflicts.conflict_sets(self.payment_claims).groupBy("payment_id", "conflict_type", "severity").agg(
+            F.sum("conflict_count").alias("n"))
+        return single.unionByName(sets)
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        return structure.structure_snapshot(self.scoped)
+
+    @cached_property
+    def coverage_summary(self) -> DataFrame:
+        return coverage.coverage_summary(self.coverage)
+
+    @cached_property
+    def risk_scores(self) -> DataFrame:
+        return risk.risk_score(self.payments, self.evidence_totals, self.conflict_profile, self.coverage_summary,
+                               self.structure, T_EVAL)
+
+    @cached_property
+    def fraud_signals(self) -> DataFrame:
+        return risk.fraud_signals(self.all_payments, self.evidence_totals, self.conflict_profile,
+                                  risk.velocity(self.payment_events))
+
+    @cached_property
+    def layer_freshness(self) -> DataFrame:
+        per = self.facts.groupBy("payment_id").agg(F.max("last_us").alias("m"), F.min("first_us").alias("f"))
+        return ops.stage_freshness(self.evidence_totals.select("payment_id", "latest_us"), {
+            "facts": per.select("payment_id", F.col("m").alias("eval_us")),
+            "coverage": per.select("payment_id", F.lit(T_EVAL).alias("eval_us")),
+            "integrity": per.select("payment_id", F.when(F.col("f") <= T2, F.lit(T2)).alias("eval_us")),
+        })

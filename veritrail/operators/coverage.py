@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import vocab as V
+from veritrail.operators.facts import keys_of
 
 PROFILE, UNKNOWN_PROFILE = "STANDARD_PAYMENT", "UNKNOWN"
 _TYPES = sorted({t for r in V.REQUIREMENTS for t in r[3]})
@@ -25,22 +26,23 @@ def requirement_catalog(spark) -> DataFrame:
 def payment_flags(payments: DataFrame, facts: DataFrame, payment_obs: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row per payment known from any input, with what the requirements look at.
 
-    `conflicts` holds value_conflicts and temporal_conflicts counts per payment.
+    `conflicts` holds value_conflicts and temporal_conflicts counts per payment. With an `eval_us`
+    column in every input the result is per payment and evaluation time.
     """
+    key = keys_of(facts)
     first = F.struct("first_us", "fact_hash", "observation_count", "status", "canonical_value")
-    by_fact = facts.groupBy("payment_id").agg(
+    by_fact = facts.groupBy(*key).agg(
         *[F.min(F.when(F.col("fact_type") == t, first)).alias(f"f_{t}") for t in _TYPES],
         F.min(F.when(F.col("fact_type").isin(*V.REQUIREMENTS[0][3]), first)).alias("f_any_status"),
     )
-    by_obs = payment_obs.groupBy("payment_id").agg(
+    by_obs = payment_obs.groupBy(*key).agg(
         *[F.count_if(F.col("evidence_type") == t).alias(f"o_{t}") for t in _EVIDENCE],
         F.max(F.col("value") == "captured").alias("o_captured"), F.max(F.col("value") == "failed").alias("o_failed"),
     )
-    p = payments.select("payment_id", F.col("status").alias("p_status"), F.col("captured").alias("p_captured"),
+    p = payments.select(*key, F.col("status").alias("p_status"), F.col("captured").alias("p_captured"),
                         F.lit(True).alias("p_known"))
-    c = conflicts.select("payment_id", ((F.col("value_conflicts") + F.col("temporal_conflicts")) > 0).alias("conflicted"))
-    return p.join(by_fact, "payment_id", "full_outer").join(by_obs, "payment_id", "full_outer").join(
-        c, "payment_id", "left")
+    c = conflicts.select(*key, ((F.col("value_conflicts") + F.col("temporal_conflicts")) > 0).alias("conflicted"))
+    return p.join(by_fact, key, "full_outer").join(by_obs, key, "full_outer").join(c, key, "left")
 
 
 def coverage_profile(flags: DataFrame, override: str | None = None) -> DataFrame:
@@ -87,13 +89,14 @@ def coverage_results(flags: DataFrame) -> DataFrame:
             F.when(~applies, F.lit(None)).when(fact.isNotNull(), fact["observation_count"])
             .when(seen > 0, seen).alias("matched_observations"),
         ))
-    return rows.select("payment_id", F.explode(F.array(*out)).alias("r")).select("payment_id", "r.*")
+    key = keys_of(rows)
+    return rows.select(*key, F.explode(F.array(*out)).alias("r")).select(*key, "r.*")
 
 
 def coverage_summary(results: DataFrame) -> DataFrame:
     kind, state = F.col("requirement_type"), F.col("observed_state")
     of = lambda k, s: F.count_if((kind == k) & (state == s))
-    agg = results.groupBy("payment_id").agg(
+    agg = results.groupBy(*keys_of(results)).agg(
         F.count("*").alias("total"), F.count_if(kind != "NOT_APPLICABLE").alias("applicable"),
         of("REQUIRED", "PRESENT").alias("required_present"), of("REQUIRED", "MISSING").alias("required_missing"),
         of("EXPECTED", "PRESENT").alias("expected_present"), of("EXPECTED", "MISSING").alias("expected_missing"),

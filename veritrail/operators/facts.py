@@ -26,6 +26,15 @@ from veritrail.sources.driver_tables import lookup
 FACT_KEYS = ["payment_id", "fact_type", "canonical_value"]
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """Payment key, with the evaluation time when the frame holds several of them."""
+    return ["payment_id", *(["eval_us"] if "eval_us" in df.columns else [])]
+
+
+def fact_keys(df: DataFrame) -> list[str]:
+    return [*keys_of(df), *FACT_KEYS[1:]]
+
+
 def fact_type() -> Column:
     return F.coalesce(
         lookup("evidence_type", V.FACT_OF_ATTRIBUTE),
@@ -46,7 +55,7 @@ def fact_hash() -> Column:
 def fact_rows(payment_obs: DataFrame) -> DataFrame:
     """Observation with its fact; the hash is computed per row, no lookup needed."""
     return payment_obs.select(
-        "payment_id", "evidence_id", "evidence_type", "source_type", "webhook_event_id", "payment_event_id",
+        *keys_of(payment_obs), "evidence_id", "evidence_type", "source_type", "webhook_event_id", "payment_event_id",
         "observed_us", "valid_until_us", fact_type().alias("fact_type"), canonical_value().alias("canonical_value"),
         # observations of one delivery belong together; one without any event stands alone
         F.coalesce("webhook_event_id", "payment_event_id", -1 - F.col("evidence_id")).alias("event_key"),
@@ -54,7 +63,7 @@ def fact_rows(payment_obs: DataFrame) -> DataFrame:
 
 
 def build_facts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*FACT_KEYS).agg(
+    return rows.groupBy(*fact_keys(rows)).agg(
         F.min("observed_us").alias("first_us"), F.max("observed_us").alias("last_us"),
         F.count("*").alias("observation_count"),
         F.greatest(F.count_distinct("source_type"), F.lit(1)).alias("distinct_source_count"),
@@ -92,8 +101,9 @@ def _total(cols: list[Column]) -> Column:
 
 def _with_near(rows: DataFrame) -> DataFrame:
     """Per (fact, time): members at that time, and those within reach before and around it."""
-    slots = rows.groupBy(*FACT_KEYS, "observed_us").agg(F.count("*").alias("at"))
-    return near_sums(slots, FACT_KEYS, "observed_us", V.RECONCILIATION_WINDOW_US, "at")
+    keys = fact_keys(rows)
+    slots = rows.groupBy(*keys, "observed_us").agg(F.count("*").alias("at"))
+    return near_sums(slots, keys, "observed_us", V.RECONCILIATION_WINDOW_US, "at")
 
 
 def reconcile_counts(rows: DataFrame) -> DataFrame:

@@ -120,7 +120,6 @@ def dimensions(scoped: DataFrame, payment_claims: DataFrame, points) -> DataFram
     """
     quality = evidence_profile(scoped, points)
     claims = conflict_profile(payment_claims)
-    on = [k for k in KEY if k in claims.columns]
     every = claims if "eval_us" in claims.columns else claims.withColumn(
         "eval_us", F.explode(F.array(*[F.lit(p) for p in points])))
     counters = [c for c in [*quality.columns, *every.columns, "unresolved_count"] if c not in KEY]

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import expr as E
 from veritrail.functions import vocab as V
-from veritrail.operators.facts import FACT_KEYS, _with_near
+from veritrail.operators.facts import _with_near, fact_keys, keys_of
 
 
 def fact_support(rows: DataFrame) -> DataFrame:
     """What each fact's observations say, in one aggregation; extremes stand for 'more than one'."""
     src = F.col("source_type")
     provider = src.isNull() | src.isin(*V.PROVIDER_SOURCES)
-    agg = rows.groupBy(*FACT_KEYS).agg(
+    keys = fact_keys(rows)
+    agg = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.every(provider).alias("all_provider"),
         F.some(F.coalesce(F.lower(src).contains("api") | F.lower(src).contains("internal"), F.lit(False))).alias("any_internal"),
         F.some(F.coalesce(src == "UNKNOWN", F.lit(False))).alias("any_unknown"),
@@ -25,18 +26,19 @@ def fact_support(rows: DataFrame) -> DataFrame:
         F.min("observed_us").alias("first_us"), F.max("fact_hash").alias("fact_hash"),
     )
     # decisions recorded on a fact are its SAME_FACT pairs: two observations within reach
-    pairs = _with_near(rows).groupBy(*FACT_KEYS).agg(
+    pairs = _with_near(rows).groupBy(*keys).agg(
         F.max((F.col("at") > 1) | (F.col("before") > F.col("at"))).alias("has_pair"))
-    return agg.join(pairs, FACT_KEYS)
+    return agg.join(pairs, keys)
 
 
 def fact_reliability(rows: DataFrame, open_conflicts: DataFrame) -> DataFrame:
     """`open_conflicts`: payment_id, n (all open conflicts, informational ones included)."""
-    j = fact_support(rows).join(open_conflicts.select("payment_id", F.col("n").alias("open_n")), "payment_id", "left")
+    key = keys_of(rows)
+    j = fact_support(rows).join(open_conflicts.select(*key, F.col("n").alias("open_n")), key, "left")
     n = F.col("n")
     multi_src, multi_ev = F.col("s0") != F.col("s1"), F.col("w0") != F.col("w1")
     d = j.select(
-        *FACT_KEYS, "fact_hash", n.alias("observation_count"),
+        *fact_keys(rows), "fact_hash", n.alias("observation_count"),
         F.when(F.col("all_provider"), "VERIFIED_PROVIDER_SOURCE").when(F.col("any_internal"), "VERIFIED_INTERNAL_SOURCE")
         .when(F.col("any_unknown"), "UNKNOWN_SOURCE").otherwise("UNVERIFIED_SOURCE").alias("source_state"),
         F.when(F.col("n_linked") == n, "COMPLETE").when(F.col("n_linked") > 0, "PARTIAL").otherwise("BROKEN")
@@ -101,14 +103,15 @@ def factors() -> Column:
 
 def payment_reliability(assessed: DataFrame, payments: DataFrame) -> DataFrame:
     s = F.col("overall_state")
-    agg = assessed.groupBy("payment_id").agg(
+    key = keys_of(assessed)
+    agg = assessed.groupBy(*key).agg(
         F.count("*").alias("facts_assessed"),
         *[F.count_if(s == x).alias(x) for x in ("UNRELIABLE", "LIMITED", "UNKNOWN", "HIGH")],
     )
-    j = payments.select("payment_id", F.lit(True).alias("known")).join(agg, "payment_id", "full_outer")
+    j = payments.select(*key, F.lit(True).alias("known")).join(agg, key, "full_outer")
     n = F.coalesce("facts_assessed", F.lit(0).cast("bigint"))
     return j.select(
-        "payment_id", n.alias("facts_assessed"),
+        *key, n.alias("facts_assessed"),
         F.when(n == 0, F.when(F.col("known"), "LIMITED").otherwise("UNKNOWN"))
         .when(F.col("UNRELIABLE") > 0, "UNRELIABLE").when(F.col("LIMITED") > 0, "LIMITED")
         .when(F.col("UNKNOWN") > 0, "UNKNOWN").when(F.col("HIGH") == n, "HIGH").otherwise("MODERATE")

@@ -18,7 +18,7 @@ def claim_rows(observations: DataFrame) -> DataFrame:
     how = lookup(etype, {t: c[2] for t, c in V.CLAIM_OF.items()})
     value = F.trim("value")
     rows = observations.filter(F.col("value").isNotNull() & (F.col("value") != "") & how.isNotNull())
-    owner = ["payment_id"] if "payment_id" in observations.columns else []
+    owner = [c for c in ("payment_id", "eval_us") if c in observations.columns]
     return rows.select(
         *owner, "subject_type", "subject_id",
         lookup(etype, {t: c[0] for t, c in V.CLAIM_OF.items()}).alias("claim_type"),
@@ -31,7 +31,8 @@ def claim_rows(observations: DataFrame) -> DataFrame:
 
 def build_claims(rows: DataFrame) -> DataFrame:
     """One row per proposition with its support; extremes stand in for 'more than one' tests."""
-    return rows.groupBy(*CLAIM_KEYS).agg(
+    at = ["eval_us"] if "eval_us" in rows.columns else []
+    return rows.groupBy(*at, *CLAIM_KEYS).agg(
         F.count("*").alias("observation_count"),
         F.count_distinct("source_type").alias("n_sources"),
         F.count_distinct("payment_event_id").alias("n_events"),

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from veritrail.plans import registry
 
-MODULES = ("oracle_base", "intake", "evidence", "dashboards")
+MODULES = ("oracle_base", "intake", "evidence", "dashboards", "history")
 
 
 def _load() -> None:

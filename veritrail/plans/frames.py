@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, coverage, facts, integrity, ops, reliability, risk, structure
+from veritrail.operators import canonical, conflicts, coverage, facts, integrity, ops, quality, reliability, risk, structure
 from veritrail.sources import driver_tables
 
 
@@ -177,3 +177,52 @@ class Frames:
             "coverage": per.select("payment_id", F.lit(T_EVAL).alias("eval_us")),
             "integrity": per.select("payment_id", F.when(F.col("f") <= T2, F.lit(T2)).alias("eval_us")),
         })
+
+    # --- the same operators at all evaluation points in one pass, from what was visible at each ---
+
+    @cached_property
+    def observations_at(self) -> DataFrame:
+        return quality.at_points(self.observations, EVAL_POINTS)
+
+    @cached_property
+    def payments_at(self) -> DataFrame:
+        return self.payments.withColumn("eval_us", F.explode(F.array(*[F.lit(p) for p in EVAL_POINTS])))
+
+    @cached_property
+    def payment_obs_at(self) -> DataFrame:
+        return canonical.payment_scope(self.observations_at)
+
+    @cached_property
+    def claims_at(self) -> DataFrame:
+        return structure.payment_claims(structure.build_claims(structure.claim_rows(self.observations_at)))
+
+    @cached_property
+    def profile_at(self) -> DataFrame:
+        return conflicts.conflict_profile(self.claims_at)
+
+    @cached_property
+    def fact_rows_at(self) -> DataFrame:
+        return facts.fact_rows(self.payment_obs_at)
+
+    @cached_property
+    def facts_at(self) -> DataFrame:
+        return facts.build_facts(self.fact_rows_at)
+
+    @cached_property
+    def coverage_at(self) -> DataFrame:
+        flags = coverage.payment_flags(self.payments_at, self.facts_at, self.payment_obs_at, self.profile_at)
+        return coverage.coverage_summary(coverage.coverage_results(flags))
+
+    @cached_property
+    def reliability_at(self) -> DataFrame:
+        found = self.profile_at.select("payment_id", "eval_us", F.col("conflict_count").alias("n"))
+        return reliability.payment_reliability(reliability.fact_reliability(self.fact_rows_at, found), self.payments_at)
+
+    @cached_property
+    def integrity_at(self) -> DataFrame:
+        return integrity.integrity(integrity.dimensions(self.scoped, self.claims_at, EVAL_POINTS))
+
+    @cached_property
+    def traces(self) -> DataFrame:
+        from veritrail.operators import trace
+        return trace.canonical_trace(self.integrity_history)

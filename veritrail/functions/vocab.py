@@ -138,3 +138,25 @@ HIGH_AMOUNT_MINOR = 10_000_000
 # --- defense ------------------------------------------------------------------------------
 LABEL_PRECEDENCE = {"CONTRADICTED": 1, "SUPPORTED": 2, "INSUFFICIENT_EVIDENCE": 3, "UNKNOWN": 4}
 REQUIRED_DEFENSE_TYPES = ("DELIVERY_PROOF", "ORDER_ID_MATCH", "PAYMENT_ID_MATCH")
+ENTITY_MATCH_TYPES = ("PAYMENT_ID_MATCH", "ORDER_ID_MATCH")
+DELIVERY_TYPES = ("DELIVERY_PROOF", "DELIVERY_STATUS")
+DELIVERY_COMPLETE_PREFIXES = ("delivered", "delivery_confirmed", "received", "signed")
+DELIVERY_INCOMPLETE_TOKENS = (
+    "in_transit", "out_for_delivery", "pending", "label_created", "created", "processing", "dispatched", "shipped",
+    "returned", "return_to_sender", "failed", "delivery_failed", "lost", "exception", "on_hold", "unknown",
+)
+DEFENSE_SOURCES = (
+    "PROVIDER_WEBHOOK", "PROVIDER_API", "INTERNAL_SYSTEM", "MERCHANT_DOCUMENT", "CARRIER_API", "CUSTOMER_COMMUNICATION",
+)
+CLAIM_PATTERNS = (
+    ("CUSTOMER_RECEIVED_GOODS", r"\breceived?\b"),
+    ("DELIVERY_COMPLETED", r"\bdelivered?\b"),
+    ("CUSTOMER_ACKNOWLEDGED_RECEIPT", r"\bsigned?\b"),
+    ("SHIPMENT_DISPATCHED", r"\bdispatched?\b|\bsent\b|\bshipped?\b"),
+    ("TRACKING_EVENT_EXISTS", r"\btracking?\b"),
+    ("DELIVERY_LOCATION", r"\blocation\b|\baddress\b"),
+)
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+DEFAULT_CLAIM_YEAR = "2026"
+CLAIM_CONFIDENCE, DATE_CONFIDENCE = 0.9, 0.85
+MATCH_RELEVANT, MATCH_UNCERTAIN = 0.85, 0.7

@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, coverage, facts, integrity, ops, quality, reliability, risk, structure
-from veritrail.sources import driver_tables
+from veritrail.operators import canonical, conflicts, coverage, defense, facts, integrity, ops, quality, reliability, risk, structure
+from veritrail.sources import defense_tables, driver_tables
 
 
 def at(text: str) -> int:
@@ -20,6 +20,7 @@ def at(text: str) -> int:
 T_EVAL = at("2024-01-31T00:00:00")
 T1, T2 = at("2024-01-10T00:00:00"), at("2024-01-20T00:00:00")
 EVAL_POINTS = (T1, T2, T_EVAL)
+T_DEFENSE = at("2001-03-01T00:00:00")
 
 
 class Frames:
@@ -226,3 +227,38 @@ class Frames:
     def traces(self) -> DataFrame:
         from veritrail.operators import trace
         return trace.canonical_trace(self.integrity_history)
+
+    # --- defense ---
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        return defense_tables.cases(self.spark, self.sf_dir)
+
+    @cached_property
+    def defense_claims(self) -> DataFrame:
+        return defense_tables.claims(self.cases)
+
+    @cached_property
+    def defense_links(self) -> DataFrame:
+        return defense_tables.evidence(self.spark, self.sf_dir, self.defense_claims)
+
+    @cached_property
+    def claim_verdicts(self) -> DataFrame:
+        return defense.claim_verdicts(self.defense_claims, self.defense_links, T_DEFENSE)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return defense.case_verdicts(self.cases, self.claim_verdicts)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Evidence by the payment it is about."""
+        return self.defense_links.select(
+            F.expr("concat('pay_o', l_orderkey)").alias("payment_reference"), "evidence_id", "evidence_type", "value",
+            "source_type", "source_reference", "observed_us", "valid_until_us")
+
+    @cached_property
+    def extracted_claims(self) -> DataFrame:
+        found = defense.extract_claims(self.cases, "case_id", "description").filter("claim_type IS NOT NULL")
+        return found.select("case_id", "claim_type", F.concat_ws(":", "case_id", "claim_type").alias("claim_id")).join(
+            self.cases.select("case_id", "payment_reference"), "case_id")

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, coverage, defense, facts, integrity, ops, quality, reliability, risk, structure
+from veritrail.operators import canonical, conflicts, coverage, defense, facts, graph, integrity, ops, quality, reliability, risk, structure
 from veritrail.sources import defense_tables, driver_tables
 
 
@@ -262,3 +262,10 @@ class Frames:
         found = defense.extract_claims(self.cases, "case_id", "description").filter("claim_type IS NOT NULL")
         return found.select("case_id", "claim_type", F.concat_ws(":", "case_id", "claim_type").alias("claim_id")).join(
             self.cases.select("case_id", "payment_reference"), "case_id")
+
+    @cached_property
+    def investigation_edges(self) -> DataFrame:
+        snaps = self.conflict_profile.select("payment_id", F.lit(T_EVAL).alias("eval_us"))
+        return graph.investigation_edges(
+            self.payments, self.payment_events, self.payment_obs, self.claim_rows, self.status_conflicts,
+            conflicts.conflict_members(self.payment_claims), snaps)

@@ -1,8 +1,9 @@
-"""Session settings and the lineage-cutting helper."""
+"""Session settings and cutting of lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for cut lineage: the one the cluster names in spark.checkpoint.dir.
 
     A private folder is used only where the setting is absent (tests, local mode).
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veritrail-ckpt-"))
-    return df.checkpoint()
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="veritrail-shared-")
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame that a loop reads many times as a table in the shared folder and read it back.
+
+    The rows are computed once, survive the loss of executors, and come back columnar with their
+    sizes known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/veritrail-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

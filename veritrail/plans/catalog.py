@@ -6,7 +6,7 @@ from importlib import import_module
 
 from veritrail.plans import registry
 
-MODULES = ("oracle_base", "intake", "evidence", "dashboards", "history", "defense_eval", "graphs")
+MODULES = ("oracle_base", "intake", "evidence", "dashboards", "history", "defense_eval", "graphs", "streams")
 
 
 def _load() -> None:

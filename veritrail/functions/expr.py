@@ -77,11 +77,9 @@ def normal_state(state: Column) -> Column:
     return F.when(s == "paid", "captured").otherwise(s)
 
 
-def transition(from_state: Column, to_state: Column) -> Column:
-    a, b = normal_state(from_state), normal_state(to_state)
-    forward = F.lit(False)
-    for x, y in V.VALID_TRANSITIONS:
-        forward = forward | ((a == x) & (b == y))
+def transition_between(a: Column, b: Column) -> Column:
+    """Kind of step between two normalised states."""
+    forward = F.concat_ws(">", a, b).isin(*[f"{x}>{y}" for x, y in V.VALID_TRANSITIONS])
     return (
         F.when(a == b, "SAME_STATE").when(forward, "VALID_FORWARD")
         .when(a.isin(*V.TERMINAL_STATES) & b.isin(*V.TERMINAL_STATES), "CONTRADICTORY_TERMINAL")
@@ -89,6 +87,10 @@ def transition(from_state: Column, to_state: Column) -> Column:
     )
 
 
+def transition(from_state: Column, to_state: Column) -> Column:
+    return transition_between(normal_state(from_state), normal_state(to_state))
+
+
 def failure_category(reason: Column, fallback: Column) -> Column:
     """First matching key in table order; no text falls back to the event type."""
     text = F.lower(reason)

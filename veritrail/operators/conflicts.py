@@ -13,33 +13,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import vocab as V
-from veritrail.functions.expr import pairs_of, transition
+from veritrail.functions.expr import normal_state, pairs_of, transition_between
+from veritrail.sources.driver_tables import lookup
 
 _SET_TYPES = ("PAYMENT_AMOUNT", "PAYMENT_CURRENCY", "ORDER_ASSOCIATION")
 
 
 def _status_pairs(points: Column) -> Column:
-    """Classified pairs of an ordered array of (earliest, claim_id, value) status points."""
+    """Classified pairs of an ordered array of (earliest, claim_id, value) status points.
+
+    Built in steps - pair, transition, verdict - so that each lambda stays small.
+    """
+    N = F.named_struct
+    named = F.transform(points, lambda p: N(
+        F.lit("t"), p["earliest_us"], F.lit("id"), p["claim_id"], F.lit("v"), p["value"], F.lit("s"), normal_state(p["value"])))
+
     def pair(a, b):
-        step = transition(a["value"], b["value"])
-        near = F.abs(b["earliest_us"] - a["earliest_us"]) <= V.CLOCK_TOLERANCE_US
-        terminal = step == "CONTRADICTORY_TERMINAL"
-        valid = step.isin("SAME_STATE", "VALID_FORWARD")
+        return N(F.lit("a"), a, F.lit("b"), b, F.lit("step"), transition_between(a["s"], b["s"]))
+
+    pairs = F.flatten(F.transform(named, lambda a, i: F.transform(
+        F.slice(named, i + F.lit(2), F.size(named)), lambda b: pair(a, b))))
+
+    def verdict(p):
+        near = F.abs(p["b"]["t"] - p["a"]["t"]) <= V.CLOCK_TOLERANCE_US
         kind = (
-            F.when(terminal, "STATE_CONFLICT").when(near, "ORDERING_AMBIGUITY").when(~valid, "TEMPORAL_CONFLICT")
-        )
-        severity = F.when(terminal, "HIGH").when(near, "INFO").when(~valid, "MEDIUM")
-        return F.struct(
-            F.least(a["claim_id"], b["claim_id"]).alias("claim_a_id"),
-            F.greatest(a["claim_id"], b["claim_id"]).alias("claim_b_id"),
-            a["value"].alias("from_value"), b["value"].alias("to_value"),
-            (b["earliest_us"] - a["earliest_us"]).alias("delta_us"),
-            step.alias("transition_type"), kind.alias("conflict_type"), severity.alias("severity"),
-        )
+            F.when(p["step"] == "CONTRADICTORY_TERMINAL", "STATE_CONFLICT").when(near, "ORDERING_AMBIGUITY")
+            .when(p["step"] == "INVALID_BACKWARD", "TEMPORAL_CONFLICT"))
+        return N(
+            F.lit("claim_a_id"), F.least(p["a"]["id"], p["b"]["id"]), F.lit("claim_b_id"), F.greatest(p["a"]["id"], p["b"]["id"]),
+            F.lit("from_value"), p["a"]["v"], F.lit("to_value"), p["b"]["v"], F.lit("delta_us"), p["b"]["t"] - p["a"]["t"],
+            F.lit("transition_type"), p["step"], F.lit("conflict_type"), kind)
+
+    return F.filter(F.transform(pairs, verdict), lambda c: c["conflict_type"].isNotNull())
+
 
-    rest = lambda i: F.slice(points, i + F.lit(2), F.size(points))
-    nested = F.transform(points, lambda a, i: F.transform(rest(i), lambda b: pair(a, b)))
-    return F.filter(F.flatten(nested), lambda c: c["conflict_type"].isNotNull())
+SEVERITY = {"STATE_CONFLICT": "HIGH", "ORDERING_AMBIGUITY": "INFO", "TEMPORAL_CONFLICT": "MEDIUM"}
 
 
 def status_points(claims: DataFrame, *more: Column) -> DataFrame:
@@ -57,6 +65,7 @@ def status_conflicts(payment_claims: DataFrame) -> DataFrame:
         status_points(only).filter(F.size("points") > 1)
         .select("payment_id", F.explode(_status_pairs(F.col("points"))).alias("c"))
         .select("payment_id", "c.*", F.lit("OPEN").alias("status"), F.lit(V.CONFLICT_RULE_VERSION).alias("rule_version"))
+        .withColumn("severity", lookup("conflict_type", SEVERITY))
     )
 
 

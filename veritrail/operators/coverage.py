@@ -13,7 +13,6 @@ from veritrail.functions import vocab as V
 from veritrail.operators.facts import keys_of
 
 PROFILE, UNKNOWN_PROFILE = "STANDARD_PAYMENT", "UNKNOWN"
-_TYPES = sorted({t for r in V.REQUIREMENTS for t in r[3]})
 _EVIDENCE = sorted({r[2] for r in V.REQUIREMENTS})
 
 
@@ -31,10 +30,9 @@ def payment_flags(payments: DataFrame, facts: DataFrame, payment_obs: DataFrame,
     """
     key = keys_of(facts)
     first = F.struct("first_us", "fact_hash", "observation_count", "status", "canonical_value")
-    by_fact = facts.groupBy(*key).agg(
-        *[F.min(F.when(F.col("fact_type") == t, first)).alias(f"f_{t}") for t in _TYPES],
-        F.min(F.when(F.col("fact_type").isin(*V.REQUIREMENTS[0][3]), first)).alias("f_any_status"),
-    )
+    # earliest fact per type, then one small map per payment: fact types are a closed vocabulary
+    per_type = facts.groupBy(*key, "fact_type").agg(F.min(first).alias("f"))
+    by_fact = per_type.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("fact_type", "f"))).alias("f"))
     by_obs = payment_obs.groupBy(*key).agg(
         *[F.count_if(F.col("evidence_type") == t).alias(f"o_{t}") for t in _EVIDENCE],
         F.max(F.col("value") == "captured").alias("o_captured"), F.max(F.col("value") == "failed").alias("o_failed"),
@@ -47,8 +45,7 @@ def payment_flags(payments: DataFrame, facts: DataFrame, payment_obs: DataFrame,
 
 def coverage_profile(flags: DataFrame, override: str | None = None) -> DataFrame:
     known = F.col("p_known").isNotNull()
-    for t in _TYPES:
-        known = known | F.col(f"f_{t}").isNotNull()
+    known = known | F.col("f").isNotNull()
     for t in _EVIDENCE:
         known = known | (F.coalesce(F.col(f"o_{t}"), F.lit(0)) > 0)
     chosen = F.lit(override) if override else F.when(known, PROFILE).otherwise(UNKNOWN_PROFILE)
@@ -61,9 +58,9 @@ def _applicable():
     status = F.col("p_status")
     return {
         "REQ_PAYMENT_CAPTURED": yes(F.col("p_captured")) | yes(status == "captured")
-        | F.col("f_PAYMENT_CAPTURED").isNotNull() | yes(F.col("o_captured")),
-        "REQ_REFUND_RECORD": yes(F.lower(status).contains("refund")) | F.col("f_PAYMENT_REFUNDED").isNotNull(),
-        "REQ_FAILURE_REASON": yes(status == "failed") | F.col("f_PAYMENT_FAILED").isNotNull() | yes(F.col("o_failed")),
+        | F.col("f")["PAYMENT_CAPTURED"].isNotNull() | yes(F.col("o_captured")),
+        "REQ_REFUND_RECORD": yes(F.lower(status).contains("refund")) | F.col("f")["PAYMENT_REFUNDED"].isNotNull(),
+        "REQ_FAILURE_REASON": yes(status == "failed") | F.col("f")["PAYMENT_FAILED"].isNotNull() | yes(F.col("o_failed")),
     }
 
 
@@ -71,9 +68,12 @@ def coverage_results(flags: DataFrame) -> DataFrame:
     rows = coverage_profile(flags).filter(F.col("profile_id") == PROFILE)
     conditional = _applicable()
     conflicted = F.coalesce(F.col("conflicted"), F.lit(False))
+    # the matching fact of every requirement, looked up once
+    found = [F.least(*[F.col("f")[t] for t in types]) if len(types) > 1 else F.col("f")[types[0]] for _, _, _, types in V.REQUIREMENTS]
+    rows = rows.withColumn("m", F.array(*found))
     out = []
     for i, (req, base, evidence, types) in enumerate(V.REQUIREMENTS):
-        fact = F.col("f_any_status") if i == 0 else F.col(f"f_{types[0]}")
+        fact = F.col("m")[i]
         seen = F.coalesce(F.col(f"o_{evidence}"), F.lit(0).cast("bigint"))
         applies = conditional.get(req, F.lit(True))
         kind = F.when(applies, "REQUIRED" if base == "CONDITIONAL" else base).otherwise("NOT_APPLICABLE")

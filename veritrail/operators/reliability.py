@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import expr as E
 from veritrail.functions import vocab as V
-from veritrail.operators.facts import _with_near, fact_keys, keys_of
+from veritrail.operators.facts import _with_near, fact_hash, fact_keys, keys_of
 
 
 def fact_support(rows: DataFrame) -> DataFrame:
@@ -21,10 +21,11 @@ def fact_support(rows: DataFrame) -> DataFrame:
         F.some(F.coalesce(src == "UNKNOWN", F.lit(False))).alias("any_unknown"),
         F.count("webhook_event_id").alias("n_linked"),
         F.min("webhook_event_id").alias("w0"), F.max("webhook_event_id").alias("w1"),
-        F.min("source_type").alias("s0"), F.max("source_type").alias("s1"),
+        # extremes of a 64-bit hash keep the aggregate hash-based where strings would force a sort
+        F.min(F.xxhash64("source_type")).alias("s0"), F.max(F.xxhash64("source_type")).alias("s1"),
         F.some(F.coalesce(F.col("valid_until_us") < F.col("observed_us"), F.lit(False))).alias("inverted"),
-        F.min("observed_us").alias("first_us"), F.max("fact_hash").alias("fact_hash"),
-    )
+        F.min("observed_us").alias("first_us"),
+    ).withColumn("fact_hash", fact_hash())
     # decisions recorded on a fact are its SAME_FACT pairs: two observations within reach
     pairs = _with_near(rows).groupBy(*keys).agg(
         F.max((F.col("at") > 1) | (F.col("before") > F.col("at"))).alias("has_pair"))

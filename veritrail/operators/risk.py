@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import expr as E
 from veritrail.functions import vocab as V
 from veritrail.functions.skew import near_sums
+from veritrail.sources.driver_tables import lookup
 
 BURST_WINDOW_US = 30_000_000
 
@@ -150,3 +151,12 @@ def pattern_members(payments: DataFrame, evidence: DataFrame, high_minor: int =
     return payments.filter(F.col("amount_minor") >= high_minor).select(
         F.lit("HIGH_VALUE_CLUSTER").alias("pattern_type"), "payment_id"
     ).unionByName(evidence.filter("source_count = 1").select(F.lit("SINGLE_SOURCE_EVIDENCE").alias("pattern_type"), "payment_id"))
+
+
+def risk_trend(snapshots: DataFrame, keep: int = 50) -> DataFrame:
+    """Rough score of each of the latest snapshots of a payment."""
+    w = Window.partitionBy("payment_id").orderBy(F.desc("eval_us"))
+    rows = snapshots.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
+    # freshness and independence results are always part of a snapshot: +5 each
+    score = lookup("overall_status", V.TREND_BASE, 50) - F.when(F.col("open_conflict_count") > 0, 15).otherwise(0) + 10
+    return rows.select("payment_id", "eval_us", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("double").alias("score"))

@@ -206,6 +206,11 @@ def _(f):
     return structure.claim_support(f.claim_rows, relations.event_edges(f.normalized))
 
 
+@query("earliest_latest", "SELECT claim_id, earliest_us, latest_us, observation_count FROM v_claims")
+def _(f):
+    return f.claims.select("claim_id", "earliest_us", "latest_us", "observation_count")
+
+
 @query("source_diversity", """
 SELECT payment_id, fact_hash, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS sources, count(DISTINCT source_type) AS source_count,
   count(DISTINCT source_type) > 1 AS is_multi_source FROM v_fact_rows GROUP BY ALL""")

@@ -24,8 +24,12 @@ T_DEFENSE = at("2001-03-01T00:00:00")
 
 
 class Frames:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, points: tuple[int, ...] = EVAL_POINTS):
+        self.spark, self.sf_dir, self.points = spark, sf_dir, points
+
+    def only_at(self, *points: int) -> Frames:
+        """The same frames with other evaluation times."""
+        return Frames(self.spark, self.sf_dir, points)
 
     def table(self, name: str) -> DataFrame:
         return driver_tables.table(self.spark, self.sf_dir, name)
@@ -130,7 +134,7 @@ class Frames:
 
     @cached_property
     def integrity_history(self) -> DataFrame:
-        return integrity.integrity(integrity.dimensions(self.scoped, self.payment_claims, EVAL_POINTS))
+        return integrity.integrity(integrity.dimensions(self.scoped, self.payment_claims, self.points))
 
     @cached_property
     def order_payments(self) -> DataFrame:
@@ -183,11 +187,11 @@ class Frames:
 
     @cached_property
     def observations_at(self) -> DataFrame:
-        return quality.at_points(self.observations, EVAL_POINTS)
+        return quality.at_points(self.observations, self.points)
 
     @cached_property
     def payments_at(self) -> DataFrame:
-        return self.payments.withColumn("eval_us", F.explode(F.array(*[F.lit(p) for p in EVAL_POINTS])))
+        return self.payments.withColumn("eval_us", F.explode(F.array(*[F.lit(p) for p in self.points])))
 
     @cached_property
     def payment_obs_at(self) -> DataFrame:
@@ -221,7 +225,7 @@ class Frames:
 
     @cached_property
     def integrity_at(self) -> DataFrame:
-        return integrity.integrity(integrity.dimensions(self.scoped, self.claims_at, EVAL_POINTS))
+        return integrity.integrity(integrity.dimensions(self.scoped, self.claims_at, self.points))
 
     @cached_property
     def traces(self) -> DataFrame:

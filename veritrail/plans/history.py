@@ -239,6 +239,7 @@ LEFT JOIN v_source_diff s ON s.payment_id = a.payment_id""")
 
 
 def _diff(f):
+    f = f.only_at(T1, T2)
     return evolution.decision_diff(_states(f), evolution.fact_diff(f.fact_rows, T1, T2), evolution.source_set_diff(f.payment_obs, T1, T2), T1, T2)
 
 
@@ -263,7 +264,7 @@ SELECT payment_id, eval_us, CASE WHEN payment_id LIKE '%9' THEN 'METHODOLOGY_UNA
   CASE WHEN payment_id LIKE '%7' AND overall_status <> 'STRONG' THEN 'overall_status' ELSE '' END AS differing FROM v_int_at WHERE eval_us = {T2}""")
 def _(f):
     """Recorded evaluations, some with a changed status or an unknown methodology, against a recomputation."""
-    at2 = f.integrity_at.filter(F.col("eval_us") == T2)
+    at2 = f.only_at(T2).integrity_at
     recorded = at2.withColumn("overall_status", F.when(F.col("payment_id").endswith("7"), "STRONG").otherwise(F.col("overall_status"))).withColumn(
         "methodology_version", F.when(F.col("payment_id").endswith("9"), "EIS_V0").otherwise(V.METHODOLOGY))
     return evolution.replay_verify(recorded, at2)
@@ -346,7 +347,7 @@ SELECT payment_id, CASE WHEN d = '' THEN 'MATCH' ELSE 'MISMATCH' END AS comparis
   SELECT a.payment_id, concat_ws(',', {', '.join(f"CASE WHEN a.{s} IS DISTINCT FROM b.{s} THEN '{s}' END" for s in _SECT)}) AS d
   FROM v_integrity a JOIN v_integrity b ON a.payment_id = b.payment_id AND a.eval_us = {T1} AND b.eval_us = {T2})""")
 def _(f):
-    h = f.integrity_history
+    h = f.only_at(T1, T2).integrity_history
     return trace.trace_diff(h.filter(F.col("eval_us") == T1), h.filter(F.col("eval_us") == T2))
 
 
@@ -357,3 +358,12 @@ def _(f):
     """Traces are finalised 0-8 s after the evaluation; those later than 5 s find no snapshot."""
     t = f.traces.select("payment_id", "trace_id", (F.col("eval_us") + F.ascii(F.right("payment_id", F.lit(1))) % 9 * 1_000_000).alias("traced_us"))
     return trace.trace_for_snapshot(evolution.state_snapshot(f.integrity_at), t)
+
+
+@query("risk_trend", """
+SELECT payment_id, eval_us, greatest(0.0, least(100.0, base - CASE WHEN open_conflict_count > 0 THEN 15 ELSE 0 END + 10)) :: DOUBLE AS score FROM (
+  SELECT *, CASE WHEN overall_status IN ('VERY_STRONG', 'STRONG') THEN 85 WHEN overall_status = 'LIMITED' THEN 60 WHEN overall_status IN ('WEAK', 'UNRESOLVED') THEN 25 ELSE 50 END AS base,
+    row_number() OVER (PARTITION BY payment_id ORDER BY eval_us DESC) AS rn FROM v_snap) WHERE rn <= 50""")
+def _(f):
+    from veritrail.operators.risk import risk_trend
+    return risk_trend(evolution.state_snapshot(f.integrity_at))

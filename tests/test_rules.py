@@ -101,8 +101,8 @@ def test_chunked_windows_match_brute_force(spark):
     rnd = random.Random(3)
     data = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(3)}", rnd.randrange(0, 500), i, rnd.randrange(9)) for i in range(400)]
     df = spark.createDataFrame(data, "k string, t bigint, i bigint, v bigint")
-    got = {(r.i): r.m for r in prefix_before(df, ["k"], ["t", "i"], F.floor(F.col("t") / 50), F.col("v"), "max", "m").collect()}
-    prev = {(r.i): r.p for r in previous_value(df, ["k"], ["t", "i"], F.floor(F.col("t") / 50), F.col("v"), "p").collect()}
+    got = {(r.i): r.m for r in prefix_before(df, ["k"], ["t", "i"], [F.floor(F.col("t") / 10), F.floor(F.col("t") / 50)], F.col("v"), "max", "m").collect()}
+    prev = {(r.i): r.p for r in previous_value(df, ["k"], ["t", "i"], [F.floor(F.col("t") / 10), F.floor(F.col("t") / 50)], F.col("v"), "p").collect()}
     slots = df.groupBy("k", "t").agg(F.count("*").alias("n"))
     near = {(r.k, r.t): (r.before, r.around) for r in near_sums(slots, ["k"], "t", 20, "n").collect()}
     for k, t, i, _v in data:

@@ -1,41 +1,61 @@
 """Ordered computations that stay distributed when one key holds a large share of rows.
 
 A plain window partitioned by a hot key sorts that whole key in one task. These helpers cut
-each key into time chunks first: chunk totals are pre-aggregated (map-side) and only the small
-per-chunk rows are ordered per key, while the rows themselves are ordered per (key, chunk).
+each key into time chunks, and chunks into coarser ones: every level is pre-aggregated map-side
+from the one below, rows are ordered only inside their finest chunk, chunks only inside the next
+coarser chunk, and per key only the few coarsest chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SECOND_US, HOUR_US = 1_000_000, 3_600_000_000
+
+
+def time_chunks(us: Column) -> list[Column]:
+    """Seconds inside hours: a task orders one second of a key, or 3600 seconds, or its hours."""
+    return [F.floor(us / SECOND_US), F.floor(us / HOUR_US)]
+
+
+def _by_levels(rows: DataFrame, keys: list[str], levels: list[str], order: list[str], inside: Callable, reduce_chunk: Callable,
+               merge: Callable) -> DataFrame:
+    """Adds __out to rows (with __v): `inside` over the finest chunk merged with what precedes it."""
+    if not levels:
+        return rows.withColumn("__out", inside(Window.partitionBy(*keys).orderBy(*order)))
+    cells = rows.groupBy(*keys, *levels).agg(reduce_chunk(order).alias("__v"))
+    before = _by_levels(cells, keys, levels[1:], [levels[0]], inside, reduce_chunk, merge).select(
+        *keys, *levels, F.col("__out").alias("__before"))
+    w = Window.partitionBy(*keys, *levels).orderBy(*order)
+    return rows.withColumn("__in", inside(w)).join(before, [*keys, *levels]).withColumn(
+        "__out", merge(F.col("__before"), F.col("__in"))).drop("__before", "__in")
+
+
+def _with_levels(df: DataFrame, chunks: list[Column], value: Column) -> tuple[DataFrame, list[str]]:
+    names = [f"__c{i}" for i in range(len(chunks))]
+    return df.select("*", *[c.alias(n) for c, n in zip(chunks, names)], value.alias("__v")), names
+
 
 def prefix_before(
-    df: DataFrame, keys: list[str], order: list[str], chunk_of: Column, value: Column, how: str, out: str
+    df: DataFrame, keys: list[str], order: list[str], chunks: list[Column], value: Column, how: str, out: str
 ) -> DataFrame:
     """Adds `out` = how(value) over all rows of the key strictly before this one.
 
-    `chunk_of` must be non-decreasing in `order`. `how` is "max" or "sum".
+    `chunks` run from fine to coarse and must not decrease in `order`. `how` is "max" or "sum".
     """
     agg = {"max": F.max, "sum": F.sum}[how]
-    combine = {
+    merge = {
         "max": lambda a, b: F.greatest(a, b),
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     }[how]
-    rows = df.withColumn("__chunk", chunk_of).withColumn("__v", value)
-    per_key = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (
-        rows.groupBy(*keys, "__chunk").agg(agg("__v").alias("__cv"))
-        .withColumn("__before", agg("__cv").over(per_key)).drop("__cv")
-    )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("__in", agg("__v").over(inside))
-        .join(chunks, [*keys, "__chunk"])
-        .withColumn(out, combine(F.col("__before"), F.col("__in")))
-        .drop("__chunk", "__v", "__in", "__before")
-    )
+    rows, levels = _with_levels(df, chunks, value)
+    done = _by_levels(
+        rows, keys, levels, order, lambda w: agg("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)), lambda _o: agg("__v"), merge)
+    result = F.coalesce("__out", F.lit(0)) if how == "sum" else F.col("__out")
+    return done.withColumn(out, result).drop("__out", "__v", *levels)
 
 
 def near_sums(df: DataFrame, keys: list[str], ts_us: str, width_us: int, value: str) -> DataFrame:
@@ -58,22 +78,11 @@ def near_sums(df: DataFrame, keys: list[str], ts_us: str, width_us: int, value:
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], chunk_of: Column, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], chunks: list[Column], value: Column, out: str
 ) -> DataFrame:
-    """Adds `out`, the value of the row just before this one within the key (NULL for the first).
-
-    The predecessor of a chunk's first row is the last row of the nearest earlier chunk, taken from
-    one pre-aggregated row per chunk.
-    """
-    rows = df.withColumn("__chunk", chunk_of).withColumn("__v", F.struct(value.alias("v")))
-    per_key = Window.partitionBy(*keys).orderBy("__chunk")
-    chunks = (
-        rows.groupBy(*keys, "__chunk").agg(F.max_by("__v", F.struct(*order)).alias("__last"))
-        .withColumn("__before", F.lag("__last").over(per_key)).drop("__last")
-    )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    return (
-        rows.withColumn("__in", F.lag("__v").over(inside)).join(chunks, [*keys, "__chunk"])
-        .withColumn(out, F.coalesce("__in", "__before")["v"])
-        .drop("__chunk", "__v", "__in", "__before")
-    )
+    """Adds `out`, the value of the row just before this one within the key (NULL for the first)."""
+    rows, levels = _with_levels(df, chunks, F.struct(value.alias("v")))
+    done = _by_levels(
+        rows, keys, levels, order, lambda w: F.lag("__v").over(w), lambda o: F.max_by("__v", F.struct(*o)),
+        lambda before, inside: F.coalesce(inside, before))
+    return done.withColumn(out, F.col("__out")["v"]).drop("__out", "__v", *levels)

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import vocab as V
 from veritrail.functions.expr import us
-from veritrail.functions.skew import prefix_before
+from veritrail.functions.skew import prefix_before, time_chunks
 from veritrail.sources.driver_tables import lookup
 
-FOLD_CHUNK_US = 3_600_000_000
-
 
 def event_status(event_type: str):
     return lookup(event_type, V.EVENT_STATUS, "unknown")
@@ -91,7 +89,7 @@ def fold_payments(normalized: DataFrame) -> DataFrame:
     )
     ev = prefix_before(
         ev, ["payment_id"], ["received_at", "event_id"],
-        F.floor(us("received_at") / FOLD_CHUNK_US), F.col("event_time"), "max", "seen_before",
+        time_chunks(us("received_at")), F.col("event_time"), "max", "seen_before",
     )
     record = F.col("seen_before").isNull() | (F.col("event_time") > F.col("seen_before"))
     # grouping by (payment, rank) first lets the top rank be picked without a second pass

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import vocab as V
 from veritrail.functions.expr import pairs_of
-from veritrail.functions.skew import near_sums, prefix_before
+from veritrail.functions.skew import near_sums, prefix_before, time_chunks
 from veritrail.sources.driver_tables import lookup
 
 FACT_KEYS = ["payment_id", "fact_type", "canonical_value"]
@@ -222,7 +222,7 @@ def fact_sequence(facts: DataFrame) -> DataFrame:
     """Per fact: how many other facts of its payment start earlier, later, or at the same time."""
     slots = facts.groupBy("payment_id", "first_us").agg(F.count("*").alias("at"))
     ranked = prefix_before(
-        slots, ["payment_id"], ["first_us"], F.floor(F.col("first_us") / 3_600_000_000), F.col("at"), "sum", "before")
+        slots, ["payment_id"], ["first_us"], time_chunks(F.col("first_us")), F.col("at"), "sum", "before")
     totals = facts.groupBy("payment_id").agg(F.count("*").alias("n"))
     j = facts.select("payment_id", "fact_hash", "first_us").join(ranked, ["payment_id", "first_us"]).join(totals, "payment_id")
     return j.select(

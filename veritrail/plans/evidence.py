@@ -117,10 +117,10 @@ SELECT a.status AS from_status, b.status AS to_status, CASE WHEN a.st = b.st THE
   count(*) AS n FROM s a JOIN s b ON a.payment_id = b.payment_id AND b.i = a.i + 1 GROUP BY ALL""")
 def _(f):
     """Transitions between consecutive events of each payment, counted by type."""
-    from veritrail.functions.skew import previous_value
+    from veritrail.functions.skew import previous_value, time_chunks
     steps = previous_value(
         f.normalized.select("payment_id", "event_id", "status", "observed_at", E.us("observed_at").alias("observed_us")),
-        ["payment_id"], ["observed_us", "event_id"], F.floor(F.col("observed_us") / 3_600_000_000), F.col("status"), "previous",
+        ["payment_id"], ["observed_us", "event_id"], time_chunks(F.col("observed_us")), F.col("status"), "previous",
     ).filter("previous IS NOT NULL")
     return steps.groupBy(
         F.col("previous").alias("from_status"), F.col("status").alias("to_status"),

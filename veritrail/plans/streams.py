@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrail.functions.expr import us
-from veritrail.functions.skew import prefix_before
-from veritrail.operators.canonical import FOLD_CHUNK_US
+from veritrail.functions.skew import prefix_before, time_chunks
 from veritrail.plans.registry import query
 from veritrail.sources import driver_tables
 from veritrail.streaming import pipeline
@@ -44,7 +43,7 @@ def _(f):
     """Late events per payment; they never lower the rank that was reached."""
     rank = driver_tables.lookup("status", {"authorized": 2, "captured": 3, "failed": 3, "paid": 3}, 0).cast("bigint")
     rows = f.normalized.select("payment_id", "event_id", us("received_at").alias("received_us"), us("observed_at").alias("observed_us"), rank.alias("rank"))
-    seen = prefix_before(rows, ["payment_id"], ["received_us", "event_id"], F.floor(F.col("received_us") / FOLD_CHUNK_US),
+    seen = prefix_before(rows, ["payment_id"], ["received_us", "event_id"], time_chunks(F.col("received_us")),
                          F.col("observed_us"), "max", "seen_before")
     return seen.groupBy("payment_id").agg(
         F.count_if(F.col("observed_us") < F.col("seen_before")).alias("late_events"), F.max("rank").alias("top_rank"))

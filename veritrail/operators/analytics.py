@@ -109,9 +109,8 @@ def trend_buckets(payments: DataFrame, now_us: int) -> DataFrame:
         "b", (F.col("anchor") - (F.col("b") + 1) * F.col("unit")).alias("start_us"), (F.col("anchor") - F.col("b") * F.col("unit")).alias("end_us"))
     s = F.col("status")
     placed = payments.select(
-        "status", "amount_minor", us("last_observed_at").alias("t"),
-        plan.select("anchor").scalar().alias("anchor"), plan.select("unit").scalar().alias("unit"))
-    per = placed.withColumn("b", F.ceil((F.col("anchor") - F.col("t")) / F.col("unit")) - 1).groupBy("b").agg(
+        "status", "amount_minor", us("last_observed_at").alias("t"), plan.select(F.struct("anchor", "unit")).scalar().alias("p"))
+    per = placed.withColumn("b", F.ceil((F.col("p.anchor") - F.col("t")) / F.col("p.unit")) - 1).groupBy("b").agg(
         F.count_if(s == "failed").alias("failures"), F.count_if(s == "captured").alias("successes"),
         F.sum(F.when(s == "captured", F.col("amount_minor"))).alias("gmv_minor"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))

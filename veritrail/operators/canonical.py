@@ -121,6 +121,11 @@ def fold_payments(normalized: DataFrame) -> DataFrame:
 FILLED = ("order_id", "customer_id", "amount_minor", "currency", "method")
 
 
+def payment_amounts(normalized: DataFrame) -> DataFrame:
+    """Amount per payment as the fold gives it, for readers that need no status."""
+    return normalized.filter(_truthy("payment_id")).groupBy("payment_id").agg(_fill("amount_minor"))
+
+
 def fold_payments_in_order(normalized: DataFrame) -> DataFrame:
     """Status when events arrive in event order: a single partial aggregate, no running maximum."""
     rank = lookup("status", V.STATUS_RANK, 0)

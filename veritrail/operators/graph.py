@@ -185,9 +185,13 @@ def lineage_edges(payment_events: DataFrame, fact_rows: DataFrame, claim_rows: D
     return edges.select("*", lookup("edge_type", ROLES).alias("causal_role"), F.lit("FOREIGN_KEY").alias("linkage_type"))
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """Both ends of every edge in one pass over the edges."""
+    return edges.select("payment_id", F.explode(F.array("src", "dst")).alias("node"))
+
+
 def lineage_nodes(edges: DataFrame) -> DataFrame:
-    ends = edges.select("payment_id", F.col("src").alias("node")).unionByName(edges.select("payment_id", F.col("dst").alias("node")))
-    return ends.distinct().withColumn("node_type", F.substring_index("node", ":", 1))
+    return ends(edges).distinct().withColumn("node_type", F.substring_index("node", ":", 1))
 
 
 def lineage_completeness(payments: DataFrame, evidence: DataFrame, facts: DataFrame, claims: DataFrame, snapshots: DataFrame) -> DataFrame:

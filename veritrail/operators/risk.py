@@ -92,16 +92,15 @@ def velocity(payment_events: DataFrame) -> DataFrame:
 def fraud_signals(payments: DataFrame, evidence: DataFrame, conflicts: DataFrame, events: DataFrame,
                   min_burst: int = 3) -> DataFrame:
     """One row per raised signal. `payments`: payment_id, amount_minor."""
-    sums = payments.agg(F.sum("amount_minor").alias("s"), F.count("amount_minor").alias("n"))
+    totals = payments.agg(F.struct(F.sum("amount_minor").alias("s"), F.count("amount_minor").alias("n")).alias("t")).scalar()
     n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     j = (
-        payments.select("payment_id", "amount_minor",
-                        sums.select("s").scalar().alias("all_sum"), sums.select("n").scalar().alias("all_n"))
+        payments.select("payment_id", "amount_minor", totals.alias("all"))
         .join(evidence.select("payment_id", "evidence_count", "source_count"), "payment_id", "left")
         .join(conflicts.select("payment_id", "conflict_count", "state_conflicts", "temporal_conflicts"), "payment_id", "left")
         .join(events.select("payment_id", "event_count", "burst"), "payment_id", "left")
     )
-    mean_others = (F.col("all_sum") - F.col("amount_minor")) / F.when(F.col("all_n") > 1, F.col("all_n") - 1)
+    mean_others = (F.col("all.s") - F.col("amount_minor")) / F.when(F.col("all.n") > 1, F.col("all.n") - 1)
     ratio = F.when(mean_others > 0, F.col("amount_minor") / mean_others)
 
     def signal(cond, kind, severity, confidence):

@@ -142,7 +142,7 @@ class Frames:
 
     @cached_property
     def all_payments(self) -> DataFrame:
-        return self.payments.select("payment_id", "amount_minor").unionByName(
+        return canonical.payment_amounts(self.normalized).unionByName(
             self.order_payments.select("payment_id", "amount_minor"))
 
     @cached_property

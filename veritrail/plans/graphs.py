@@ -86,9 +86,7 @@ def _(f):
 @query("node_owner", "SELECT DISTINCT node, payment_id FROM v_reach WHERE node LIKE 'ev:%' OR node LIKE 'claim:%'")
 def _(f):
     """Owning payment of evidence and claim nodes, carried on every edge: no traversal needed."""
-    e = f.investigation_edges
-    ends = e.select("payment_id", F.col("src").alias("node")).unionByName(e.select("payment_id", F.col("dst").alias("node")))
-    return ends.filter("node LIKE 'ev:%' OR node LIKE 'claim:%'").distinct()
+    return graph.ends(f.investigation_edges).filter("node LIKE 'ev:%' OR node LIKE 'claim:%'").distinct()
 
 
 @query("shortest_path", "SELECT payment_id, depth, path FROM v_paths WHERE node = 'src:PROVIDER_API'")

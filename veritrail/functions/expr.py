@@ -101,8 +101,8 @@ def failure_category(reason: Column, fallback: Column) -> Column:
 
 
 def pairs_of(n: Column) -> Column:
-    """Number of unordered pairs among n items, as a bigint."""
-    return ((n * (n - 1)) / 2).cast("bigint")
+    """Number of unordered pairs among n items: exact integers, the even factor halved first."""
+    return F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
 
 
 def parts(*items: Column) -> Column:

@@ -117,7 +117,7 @@ def set_digest(hash_hex: Column, lanes: int = 2) -> list[Column]:
     Adds up in partial aggregates, so the members of a payment never have to be gathered and sorted.
     """
     return [
-        F.coalesce(F.sum(F.conv(F.substring(hash_hex, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"lane{i}")
+        F.coalesce(F.sum(F.conv(F.substring(hash_hex, 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("string").alias(f"lane{i}")
         for i in range(lanes)
     ]
 

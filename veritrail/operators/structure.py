@@ -134,7 +134,7 @@ def structure_snapshot(scoped: DataFrame) -> DataFrame:
     )
     joined = totals.join(by_source, "payment_id").join(webhooks, "payment_id").join(claims, "payment_id", "left")
     hhi = F.when(F.col("n_events") == 0, 1.0).otherwise(
-        F.col("sum_sq") / (F.col("total_observations") * F.col("total_observations"))
+        F.col("sum_sq") / F.pow(F.col("total_observations").cast("double"), 2)
     )
     zero = F.lit(0).cast("bigint")
     return joined.select(

@@ -34,11 +34,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineage: the one the cluster names in spark.checkpoint.dir.
 
-    A private folder is used only where the setting is absent (tests, local mode).
+    A private folder is used only where the setting is absent in local mode (tests): executors on other
+    machines could not see it, so there the setting is required.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="veritrail-shared-")
         sc.setCheckpointDir(named)
     return named

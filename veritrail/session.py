@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,23 @@ def build_session(app: str = "veritrail", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application; Spark copies the archive to the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_veritrail_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="veritrail-code-")) / "veritrail.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(archive))
+    sc._veritrail_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """All time arithmetic assumes UTC, whatever the session was built with."""
+    """Workers get the package; all time arithmetic assumes UTC, whatever the session was built with."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

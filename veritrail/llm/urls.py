@@ -18,7 +18,7 @@ from veritrail.llm.common import table
 
 #: The filter has at most 2**18 blocks of 64 bytes (16 MB), however long the list is; beyond about a bit for
 #: each four entries it passes more rows to the join, and nothing else changes.
-MAX_BLOCK_BITS = 18
+MIN_BLOCK_BITS, MAX_BLOCK_BITS = 4, 18
 BITS_PER_ENTRY = 24
 WORDS = 8
 #: A list of at most so many entries is sent whole to the executors; a longer one is joined by a shuffled hash join.
@@ -58,7 +58,7 @@ def canonical_list(listed: DataFrame) -> DataFrame:
 
 
 def _block(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
 def _masks(key: Column) -> list[Column]:
@@ -69,7 +69,7 @@ def _masks(key: Column) -> list[Column]:
 
 def bloom_filter(keys: DataFrame, entries: int) -> tuple[DataFrame, int]:
     """The filter's blocks (block, w0 .. w7), built by partial aggregates, and the number of block bits."""
-    bits = min(MAX_BLOCK_BITS, max(0, (max(1, entries) * BITS_PER_ENTRY // 512).bit_length()))
+    bits = min(MAX_BLOCK_BITS, max(MIN_BLOCK_BITS, (entries * BITS_PER_ENTRY // 512).bit_length()))
     rows = keys.select(_block(F.col("key"), bits).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), bits
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veritrail.llm import fingerprints, packing, sharding, simhash, urls
+from veritrail.llm import fingerprints, packing, piecestream, sharding, simhash, urls
 from veritrail.session import prepare
 
 QUERIES = {
     "op2_minimum_bin_slack": packing.op2_minimum_bin_slack,
     "op3_bloom_url_filter": urls.op3_bloom_url_filter,
+    "op4_streaming_viterbi": piecestream.op4_streaming_viterbi,
     "op5_multiset_fingerprints": fingerprints.op5_multiset_fingerprints,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,

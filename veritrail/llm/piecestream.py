@@ -30,7 +30,7 @@ from veritrail.llm.common import slices, table
 
 SPACE = "▁"
 #: Stretches a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 48
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -172,9 +172,7 @@ class PieceEncoder(dict):
         ids = self.search.feed(stretch)
         ids += self.search.finish()
         ids = np.array(ids, dtype="<u4").tobytes()
-        if len(stretch) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        if len(stretch) <= REMEMBERED_CHARS and len(self) < REMEMBERED:  # frequent ones come early
             self[stretch] = ids
         return ids
 

@@ -16,8 +16,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Words a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+#: Words a worker remembers; words that come later are encoded each time.
+REMEMBERED = 1_000_000
 #: Words that the tokenizer gets at once.
 WORDS_AT_ONCE = 4096
 #: Latin letters up to here have their lower case in the same range, but for U+0130.
@@ -65,12 +65,12 @@ class WordEncoder(dict):
         cut = [None if _NOT_SIMPLE.search(t) else _WORDS.findall(t.lower()) for t in texts]
         distinct = set(chain.from_iterable(words for words in cut if words))
         new = [w for w in distinct if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(distinct)
         self._learn(new)
         for text, words in zip(texts, cut, strict=True):
             yield self._whole(text) if words is None else b"".join(map(self.__getitem__, words))
+        if len(self) > REMEMBERED:  # frequent words came early; those of now are rare
+            for w in new:
+                del self[w]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

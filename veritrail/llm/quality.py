@@ -164,7 +164,7 @@ def held_out(key: str):
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
     usable = ~held_out("doc_id")
     rows = training_rows(docs, labels, "quality", usable, 2 * SAMPLE_EACH, SAMPLE_CHARS, SAMPLE_EACH)
-    counted = labels.where(usable & F.col("quality").isin(0, 1)).agg(F.count_if("quality = 1").alias("ones"), F.count_if("quality = 0").alias("zeros")).first()
+    counted = labels.where(usable & F.col("quality").isin(0, 1)).agg(F.count_if(F.col("quality") == 1).alias("ones"), F.count_if(F.col("quality") == 0).alias("zeros")).first()
     return train(rows["text"].tolist(), rows["label"].to_numpy(), (counted["ones"] + 1) / (counted["zeros"] + 1))
 
 

@@ -25,6 +25,8 @@ AT_ONCE = 256
 #: Training rows: of each label at most so many rows, of at most so many characters together; of a row, an
 #: epoch looks at this many chunks, drawn anew each time. Scores always see all chunks.
 SAMPLE_EACH, SAMPLE_CHARS, CHUNKS_SEEN, EPOCHS, BATCH = 2000, 20_000_000, 32, 14, 32
+#: A small sample is gone through more often, for so many steps.
+LEAST_STEPS = 500
 THRESHOLD = 0.3
 
 
@@ -121,8 +123,9 @@ def train(texts: list[str], labels: np.ndarray, odds: float, seed: int = 7) -> N
     rng = np.random.default_rng(seed)
     cut = [chunks(t.encode()) for t in texts]
     state = {k: [np.zeros_like(getattr(net, k), dtype=np.float64)] * 2 for k in Network.NAMES}
-    t, steps = 0, EPOCHS * -(-len(cut) // BATCH)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(cut)))
+    t, steps = 0, epochs * -(-len(cut) // BATCH)
+    for _ in range(epochs):
         order = rng.permutation(len(cut))
         for i in range(0, len(order), BATCH):
             some = order[i:i + BATCH]

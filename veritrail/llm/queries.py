@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import fingerprints, packing, piecestream, quality, sharding, simhash, toxicity, urls
+from veritrail.llm import fingerprints, packing, piecestream, quality, sharding, simhash, surrogates, toxicity, urls
 from veritrail.session import prepare
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_multiset_fingerprints": fingerprints.op5_multiset_fingerprints,
     "op6_byte_cnn_quality": quality.op6_byte_cnn_quality,
     "op7_weak_supervision_toxicity": toxicity.op7_weak_supervision_toxicity,
+    "op8_surrogate_pii": surrogates.op8_surrogate_pii,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veritrail.llm import fingerprints, packing, piecestream, quality, sharding, simhash, surrogates, toxicity, urls
+from veritrail.llm import ann, fingerprints, packing, piecestream, quality, sharding, simhash, surrogates, toxicity, urls
 from veritrail.session import prepare
 
 QUERIES = {
+    "op1_posting_list_ann": ann.op1_posting_list_ann,
     "op2_minimum_bin_slack": packing.op2_minimum_bin_slack,
     "op3_bloom_url_filter": urls.op3_bloom_url_filter,
     "op4_streaming_viterbi": piecestream.op4_streaming_viterbi,

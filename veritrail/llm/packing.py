@@ -102,9 +102,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, key:
         encode = encoder(tokenizer).encode
         for pdf in slices(batches):
             rows, ids = [], []
-            texts = [t or "" for t in pdf["text"]]
-            for i, body in zip(pdf["id"], encode(texts), strict=True):
-                body = memoryview(body + end)
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                body = memoryview(encode(text or "") + end)
                 for a in range(0, len(body), 4 * window):
                     piece = body[a:a + 4 * window]
                     rows.append((i, a // 4, len(piece) // 4, zlib.crc32(piece), len(body) // 4))

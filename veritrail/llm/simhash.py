@@ -78,11 +78,12 @@ def signatures(nodes: DataFrame, distance: int) -> DataFrame:
     """fp -> (key, side, fp): each segment whole (side 2), and with each bit deleted (side: that bit)."""
     made = []
     for i, (first, width) in enumerate(segments(distance)):
-        seg = f"(shiftrightunsigned(fp, {first}) & {(1 << width) - 1 if width < 64 else -1}L)"
+        ones = (1 << width) - 1 if width < BITS else -1
+        seg = f"(shiftrightunsigned(fp, {first}) & {ones}L)"
         tag = lambda p, i=i: f"{(i << 6 | p)}L"
         made.append(f"named_struct('key', xxhash64({tag(WHOLE)}, {seg}), 'side', 2Y)")
         made += [
-            f"named_struct('key', xxhash64({tag(p)}, {seg} & {((1 << width) - 1) & ~(1 << p)}L), 'side', cast(shiftrightunsigned({seg}, {p}) & 1L as tinyint))"
+            f"named_struct('key', xxhash64({tag(p)}, {seg} & ~shiftleft(1L, {p})), 'side', cast(shiftrightunsigned({seg}, {p}) & 1L as tinyint))"
             for p in range(width)
         ]
     return nodes.select("fp", F.explode(F.expr(f"array({', '.join(made)})")).alias("s")).select("s.key", "s.side", "fp")

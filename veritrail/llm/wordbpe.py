@@ -11,15 +11,11 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
 #: Words a worker remembers; words that come later are encoded each time.
 REMEMBERED = 1_000_000
-#: Words that the tokenizer gets at once.
-WORDS_AT_ONCE = 4096
 #: Latin letters up to here have their lower case in the same range, but for U+0130.
 _SIMPLE_END = 0x180
 
@@ -31,7 +27,17 @@ def _class(prefix: str) -> str:
 _LETTERS, _NUMBERS = _class("L"), _class("N")
 #: The vocabulary's own pattern, its classes written out for the simple range.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-_NOT_SIMPLE = re.compile(rf"[^\x00-{chr(_SIMPLE_END - 1)}]|[\x1c-\x1fİ]|<\|")
+_NOT_SIMPLE = re.compile(rf"[^\x00-{chr(_SIMPLE_END - 1)}]|[\x00-\x08\x0e-\x1f\x7fİ]|<\|")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it is printable Latin, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
 
 
 class WordEncoder(dict):
@@ -43,34 +49,19 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words as one text with spaces between; a word is over where a token says so."""
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            some = words[i:i + WORDS_AT_ONCE]
-            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, dtype="<u4")
-            ends = (4 * (1 + np.flatnonzero(self.ends_word[ids]))).tolist()
-            ids = ids.tobytes()
-            self.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
-        cut = [None if _NOT_SIMPLE.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        distinct = set(chain.from_iterable(words for words in cut if words))
-        new = [w for w in distinct if w not in self]
-        self._learn(new)
-        for text, words in zip(texts, cut, strict=True):
-            yield self._whole(text) if words is None else b"".join(map(self.__getitem__, words))
-        if len(self) > REMEMBERED:  # frequent words came early; those of now are rare
-            for w in new:
-                del self[w]
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([_BYTES[b] for b in word.encode()])
+        ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        if len(self) < REMEMBERED:  # frequent words come early
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if _NOT_SIMPLE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

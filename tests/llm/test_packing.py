@@ -85,7 +85,7 @@ def test_patterns_use_every_piece_once(counts):
 
 
 @settings(deadline=None, max_examples=300)
-@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.characters(), st.sampled_from("'sStT re <|>ſİ\x1c\x85")), max_size=60))
+@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.characters(exclude_categories=["Cs"]), st.sampled_from("'sStT re <|>ſİ\x1c\x85")), max_size=60))
 def test_word_encoder(text):
     e = encoder(PATH)
     ids = np.frombuffer(e.encode(text), "<u4").tolist()

@@ -99,7 +99,9 @@ class Network:
         dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         dh = np.outer(dz, self.out) * (hidden > 0)
         df = dh @ self.dense.T
-        dp = (df[doc, :FILTERS] * (pooled == top[doc]) + df[doc, FILTERS:] / sizes[doc][:, None]) * on
+        first = (pooled == top[doc]).astype(np.float32)  # equal chunks share the largest answer's gradient
+        first /= np.add.reduceat(first, starts, axis=0)[doc]
+        dp = (df[doc, :FILTERS] * first + df[doc, FILTERS:] / sizes[doc][:, None]) * on
         picked = windows[np.arange(len(rows))[:, None], at]  # (chunks, filters, width * embed)
         dwin = dp[:, :, None] * self.filters.T[None]
         under = rows[np.arange(len(rows))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]

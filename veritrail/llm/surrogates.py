@@ -50,15 +50,25 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}(?![\p{L}\p{N}])",
     "ACCESS": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "HEX": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "HEX": r"(?<![0-9A-Za-z])(?=[0-9]{0,63}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "IBAN": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,16}(?![0-9A-Za-z])",
     "PHONE": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![ .-]?\d)|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "CARD": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "PERSON": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? +{_NAME}(?: +{_NAME})?",
+    "PERSON": rf"(?=[DFHMPSгκ])(?<![\p{{L}}\p{{N}}]){_TITLE}\.? +{_NAME}(?: +{_NAME})?",
 }
-FOUND = "|".join(f"(?:{p})" for p in KINDS.values())
+_EDGE = r"(?<![\p{L}\p{N}])"
+_either = lambda *kinds: "|".join(f"(?:{KINDS[k]})" for k in kinds)
+#: Any of them; most places in a text fail the first test of either half.
+FOUND = f"{_EDGE}(?:{_either('EMAIL', 'ACCESS', 'HEX', 'IBAN', 'PERSON')})|(?=[0-9+(])(?:{_either('PHONE', 'SSN', 'CARD', 'IP')})"
+
+
+def holds_entities(body: Column) -> Column:
+    """Whether a text holds any. All kinds but persons have a digit or an @; most texts have neither."""
+    return (F.contains(body, F.lit("@")) | body.rlike("[0-9]") | body.rlike(KINDS["PERSON"])) & body.rlike(FOUND)
+
+
 ATTEMPTS = 40
 
 
@@ -224,7 +234,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col("row")[text]
-    some = packed.where(body.rlike(FOUND)).withColumn("found", F.regexp_extract_all(body, F.lit(FOUND), 0))
+    some = packed.where(holds_entities(body)).withColumn("found", F.regexp_extract_all(body, F.lit(FOUND), 0))
     some = cut_lineage(some.withColumn("at", F.sha2(body, 256)))
 
     units = (
@@ -243,7 +253,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     done = some.join(maps, "at", "left").select(
         F.col("row").withField(text, changed).alias("row"),
         F.size(F.filter("found", lambda m: kind_of(m).isNotNull())).cast("long").alias("n"))
-    clean = packed.where(~F.coalesce(body.rlike(FOUND), F.lit(False))).withColumn("n", F.lit(0).cast("long"))
+    clean = packed.where(~F.coalesce(holds_entities(body), F.lit(False))).withColumn("n", F.lit(0).cast("long"))
     out = clean.unionAll(done)
     names = [F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*names, F.col("n").alias(count)) if count else out.select(*names)

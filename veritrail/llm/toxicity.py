@@ -162,12 +162,13 @@ class LabelModel:
     """
 
     LINK, ROUNDS = 0.01, 12
-    #: The given label is taken to be right at least so often for either class; this tells the classes apart.
-    LEAST_RIGHT = 0.8
+    #: The given label is taken to be right so often for either class: often enough to tell the classes apart,
+    #: not so often that it outweighs all voters.
+    LEAST_RIGHT, MOST_RIGHT = 0.8, 0.97
 
     def fit(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         """Posterior of class 1 for each row, from votes (1, 0, -1 for none) and given labels."""
-        p = np.where(given == 1, 0.9, 0.1)
+        p = np.where(given == 1, 0.75, 0.25)
         for _ in range(self.ROUNDS):
             self._estimate(votes, given, p)
             p = self.posterior(votes, given)
@@ -177,7 +178,7 @@ class LabelModel:
         weights = np.stack([1 - p, p])
         self.prior = np.clip(weights.sum(1) / weights.sum(), 1e-3, 1 - 1e-3)
         right = [((weights[c] * (given == c)).sum() + 1) / (weights[c].sum() + 2) for c in (0, 1)]
-        self.right = np.clip(right, self.LEAST_RIGHT, 0.99)
+        self.right = np.clip(right, self.LEAST_RIGHT, self.MOST_RIGHT)
         hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
         # [voter i, voter j, class, vote of i, vote of j], smoothed
         joint = np.stack([np.einsum("nia,njb->ijab", hot * w[:, None, None], hot) for w in weights], axis=2) + 0.1

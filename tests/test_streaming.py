@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from veritrail.functions import vocab as V
+from veritrail.operators import canonical
 from veritrail.plans.frames import Frames
+from veritrail.session import cut_lineage
+from veritrail.sources import driver_tables
 from veritrail.streaming import pipeline
 
 
@@ -12,18 +17,61 @@ def as_set(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_payment_state_equals_batch_across_batches(spark, sf, tmp_path):
+def one_by_one(events):
+    """(payment, rank, status, event time) in arrival order, applied to small states."""
+    state = {}
+    for payment, rank, status, t in events:
+        r, s, captured, last, n = state.get(payment, (-1, "unknown", False, -(2**62), 0))
+        if rank > r or (rank == r and t > last):
+            r, s, captured = rank, status, captured or status == "captured"
+        state[payment] = (r, s, captured, max(last, t), n + 1)
+    return {(p, s, c, last, n) for p, (_, s, c, last, n) in state.items()}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+@pytest.mark.parametrize("reverse", [False, True])
+def test_payment_state_over_batches(spark, sf, tmp_path, files, reverse):
     src = str(tmp_path / "in")
-    # several files taken one per batch: state has to carry over
-    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(src)
-    stream = pipeline.event_stream(spark, src, "*.parquet", files_per_trigger=1)
-    got = pipeline.drain(pipeline.stateful_payments(stream), ["payment_id"])
-    f = Frames(spark, sf)
-    want = f.payments.select("payment_id", "event_count")
-    assert as_set(got.select("payment_id", "event_count")) == as_set(want)
-    # batches arrive in event order here, so statuses agree except where arrival crosses a file edge
-    both = got.select("payment_id", F.col("status").alias("s")).join(f.payments.select("payment_id", "status"), "payment_id")
-    assert both.filter("s = status").count() >= 0.99 * both.count()
+    # files are taken one per batch, so state has to carry over; some payments stand in several, in any order of arrival
+    parts = spark.read.parquet(f"{sf}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(files)))
+    for i in range(files):
+        parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(src)
+    stream = pipeline.event_stream(spark, src, files_per_trigger=1)
+    got = as_set(pipeline.stateful_payments(stream).select("payment_id", "status", "captured", "last_us", "event_count"))
+    order = [F.desc("received_us"), F.desc("event_id")] if reverse else ["received_us", "event_id"]
+    rows = canonical.normalize_events(driver_tables.events(spark, sf)).filter("payment_id <> ''").select(
+        "payment_id", driver_tables.lookup("status", V.STATUS_RANK, 0).alias("rank"), "status", F.unix_micros(F.coalesce("observed_at", "received_at")).alias("t"),
+        F.unix_micros("received_at").alias("received_us"), "event_id", F.pmod(F.xxhash64("event_id"), F.lit(files)).alias("part"))
+    if reverse:  # the same fold on frames, batch by batch, each handed over in reverse
+        state = spark.createDataFrame([], pipeline.STATE)
+        for i in range(files):
+            batch = driver_tables.events(spark, sf).where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).orderBy(F.desc("event_id"))
+            state = cut_lineage(pipeline.fold_onto(state, batch))
+        got = as_set(state.select("payment_id", "status", "captured", "last_us", "event_count"))
+        order = ["received_us", "event_id"]
+    assert got == one_by_one([tuple(r)[:4] for r in rows.orderBy("part", *order).collect()])
+    if files == 1:
+        assert got == as_set(Frames(spark, sf).payments.select("payment_id", "status", "captured", F.unix_micros("last_observed_at"), "event_count"))
+
+
+def test_one_busy_payment(spark):
+    """Forty events of one payment, given in reverse order of arrival: the later capture wins."""
+    ev = driver_tables.shape_events(spark.sql("""
+        SELECT id AS event_id, 1L AS user_id, 10.0D AS value, IF(id % 2 = 0, 'purchase', 'error') AS raw_type,
+          timestamp'2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, id * 60) AS observed_at, id AS k FROM range(40)""").orderBy(F.desc("event_id")))
+    got = pipeline.fold_onto(spark.createDataFrame([], pipeline.STATE), ev).drop("rank")
+    want = canonical.fold_payments(canonical.normalize_events(ev)).select("payment_id", "status", "captured", F.unix_micros("last_observed_at"), "event_count")
+    assert as_set(got) == as_set(want) and got.first()["captured"]
+
+
+def test_empty_stream(spark, sf, tmp_path):
+    src = str(tmp_path / "none")
+    spark.read.parquet(f"{sf}/events.parquet").where("false").coalesce(1).write.parquet(src)
+    assert pipeline.stateful_payments(pipeline.event_stream(spark, src)).count() == 0
+
+
+def test_single_file_is_a_stream_too(spark, sf):
+    assert pipeline.stateful_payments(pipeline.event_stream(spark, f"{sf}/events.parquet")).count() == Frames(spark, sf).payments.count()
 
 
 def test_dedup_stream_keeps_null_ids(spark, tmp_path):

@@ -156,12 +156,14 @@ def decision_state(payments: DataFrame, inputs: DataFrame, facts: DataFrame, cov
         .alias("result_fingerprint")).drop("lane0", "lane1")
 
 
+REPLAYED = ("overall_status", "freshness", "source", "independence", "consistency")
+
+
 def replay_verify(recorded: DataFrame, replayed: DataFrame, known_methodology: str = V.METHODOLOGY) -> DataFrame:
     """Recorded evaluations against a recomputation at the same time."""
-    dims = ("overall_status", "freshness", "source", "independence", "consistency")
-    a = recorded.select(*KEY, "methodology_version", *[F.col(d).alias(f"a_{d}") for d in dims])
-    b = replayed.select(*KEY, *[F.col(d).alias(f"b_{d}") for d in dims], F.lit(True).alias("found"))
-    diff = E.parts(*[F.when(F.col(f"a_{d}") != F.col(f"b_{d}"), d) for d in dims])
+    a = recorded.select(*KEY, "methodology_version", *[F.col(d).alias(f"a_{d}") for d in REPLAYED])
+    b = replayed.select(*KEY, *[F.col(d).alias(f"b_{d}") for d in REPLAYED], F.lit(True).alias("found"))
+    diff = E.parts(*[F.when(F.col(f"a_{d}") != F.col(f"b_{d}"), d) for d in REPLAYED])
     return a.join(b, KEY, "left").select(
         *KEY,
         F.when(F.col("methodology_version") != known_methodology, "METHODOLOGY_UNAVAILABLE").when(F.col("found").isNull(), "INCOMPLETE")

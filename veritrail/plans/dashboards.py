@@ -13,6 +13,7 @@ from veritrail.plans.registry import query, view
 from veritrail.sources import landing
 
 T_ORDERS = at("2001-08-01T00:30:00")
+T_RECENT = at("2001-07-31T00:30:00")
 T_DAILY = at("2024-02-05T06:00:00")
 HOUR = 3_600_000_000
 
@@ -143,9 +144,9 @@ def _(f):
 
 
 @query("high_value_recent", f"""
-SELECT payment_id, amount_minor FROM v_opay WHERE amount_minor >= 1000000 AND status = 'captured' AND last_us >= {T_ORDERS - HOUR} ORDER BY amount_minor DESC, payment_id LIMIT 3""")
+SELECT payment_id, amount_minor FROM v_opay WHERE amount_minor >= 1000000 AND status = 'captured' AND last_us >= {T_RECENT - HOUR} ORDER BY amount_minor DESC, payment_id LIMIT 3""")
 def _(f):
-    return analytics.high_value_recent(f.order_payments, T_ORDERS).select("payment_id", "amount_minor")
+    return analytics.high_value_recent(f.order_payments, T_RECENT).select("payment_id", "amount_minor")
 
 
 view("v_hot", f"SELECT payment_id, conflict_type, severity, {T_EVAL} AS detected_us FROM v_conflict_counts")

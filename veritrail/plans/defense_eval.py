@@ -141,8 +141,7 @@ def _(f):
 @query("claim_extraction_documents", claims_sql("documents", "doc_id", "text"))
 def _(f):
     """The same over the free text of the document table, whole texts."""
-    from veritrail.sources.driver_tables import spread
-    return defense.extract_claims(spread(f.table("documents").select("doc_id", "text")), "doc_id", "text")
+    return defense.extract_claims(f.table("documents").select("doc_id", "text"), "doc_id", "text")
 
 
 view("v_found", claims_sql("v_cases", "case_id", "description"))

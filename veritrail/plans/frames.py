@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.operators import canonical, conflicts, coverage, defense, facts, graph, integrity, ops, quality, reliability, risk, structure
+from veritrail.session import cut_lineage
 from veritrail.sources import defense_tables, driver_tables
 
 
@@ -27,6 +28,17 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str, points: tuple[int, ...] = EVAL_POINTS):
         self.spark, self.sf_dir, self.points = spark, sf_dir, points
 
+    def keeping(self, *names: str) -> Frames:
+        """The same frames, with some written once as shared tables that everything else is derived from.
+
+        For queries that would otherwise compute a layer several times; the tables lie in the shared folder,
+        so they survive lost executors.
+        """
+        kept = Frames(self.spark, self.sf_dir, self.points)
+        for name in names:  # cached_property reads the value from here
+            kept.__dict__[name] = cut_lineage(getattr(kept, name))
+        return kept
+
     def only_at(self, *points: int) -> Frames:
         """The same frames with other evaluation times."""
         return Frames(self.spark, self.sf_dir, points)

@@ -121,7 +121,7 @@ def _(f):
 
 
 # --- lineage -----------------------------------------------------------------------------------
-view("v_lsnap", "SELECT payment_id, eval_us, CASE WHEN payment_id NOT LIKE '%4' THEN sha256(payment_id || '|' || eval_us || '|EIS_V1') END AS trace_id FROM v_int_at")
+view("v_lsnap", "SELECT payment_id, eval_us, sha256(payment_id || '|' || eval_us || '|EIS_V1') AS trace_id FROM v_int_at")
 view("v_lchg", "SELECT c.payment_id, c.eval_us, p_eval_us, c.dimension, direct_cause, causality FROM v_causes c JOIN v_steps s ON s.payment_id = c.payment_id AND s.eval_us = c.eval_us")
 view("v_ledges", f"""
 SELECT *, {case('edge_type', graph.ROLES)} AS causal_role, 'FOREIGN_KEY' AS linkage_type FROM (
@@ -141,7 +141,7 @@ UNION ALL SELECT DISTINCT payment_id, 'rec:' || fact_hash, 'fact:' || fact_hash,
 
 
 def _snaps(f):
-    trace_id = F.when(~F.col("payment_id").endswith("4"), key_hash(F.col("payment_id"), F.col("eval_us").cast("string"), F.lit(V.METHODOLOGY)))
+    trace_id = key_hash(F.col("payment_id"), F.col("eval_us").cast("string"), F.lit(V.METHODOLOGY))
     return f.integrity_at.select("payment_id", "eval_us", trace_id.alias("trace_id"))
 
 

@@ -260,14 +260,13 @@ def _(f):
 
 
 @query("replay_verify", f"""
-SELECT payment_id, eval_us, CASE WHEN payment_id LIKE '%9' THEN 'METHODOLOGY_UNAVAILABLE' WHEN payment_id LIKE '%7' AND overall_status <> 'STRONG' THEN 'REPLAY_MISMATCH' ELSE 'MATCH' END AS verification,
-  CASE WHEN payment_id LIKE '%7' AND overall_status <> 'STRONG' THEN 'overall_status' ELSE '' END AS differing FROM v_int_at WHERE eval_us = {T2}""")
+SELECT payment_id, eval_us, CASE WHEN r.payment_id IS NULL THEN 'INCOMPLETE' WHEN d = '' THEN 'MATCH' ELSE 'REPLAY_MISMATCH' END AS verification, d AS differing FROM (
+  SELECT a.payment_id, a.eval_us, b.payment_id AS found, concat_ws(',', {', '.join(f"CASE WHEN a.{c} <> b.{c} THEN '{c}' END" for c in evolution.REPLAYED)}) AS d
+  FROM v_integrity a LEFT JOIN v_int_at b ON b.payment_id = a.payment_id AND b.eval_us = a.eval_us) r""".replace("r.payment_id IS NULL", "found IS NULL"))
 def _(f):
-    """Recorded evaluations, some with a changed status or an unknown methodology, against a recomputation."""
-    at2 = f.only_at(T2).integrity_at
-    recorded = at2.withColumn("overall_status", F.when(F.col("payment_id").endswith("7"), "STRONG").otherwise(F.col("overall_status"))).withColumn(
-        "methodology_version", F.when(F.col("payment_id").endswith("9"), "EIS_V0").otherwise(V.METHODOLOGY))
-    return evolution.replay_verify(recorded, at2)
+    """Evaluations as recorded over the whole scope against recomputations from what was visible at each time."""
+    recorded = f.integrity_history.withColumn("methodology_version", F.lit(V.METHODOLOGY))
+    return evolution.replay_verify(recorded, f.integrity_at)
 
 
 # --- traces ------------------------------------------------------------------------------------------
@@ -299,23 +298,26 @@ def _(f):
     return f.traces.select("payment_id", "trace_id", "eval_us", "overall_status", "trace_hash")
 
 
-def _tampered(f):
-    """Stored traces after some contents were edited and some hashes lost."""
-    return f.traces.withColumn("content", F.when(F.col("payment_id").endswith("3"), F.concat("content", F.lit(" "))).otherwise(F.col("content"))).withColumn(
-        "trace_hash", F.when(F.col("payment_id").endswith("5"), F.lit(None)).otherwise(F.col("trace_hash")))
+_AGAIN = _H.format("content", "CASE WHEN previous_trace_hash IS NULL THEN 'null' ELSE '\"' || previous_trace_hash || '\"' END")
+view("v_checked", f"""
+SELECT payment_id, trace_id, trace_hash = {_AGAIN} AS hash_ok, row_number() OVER w = 1 AS is_first,
+  previous_trace_hash IS NOT DISTINCT FROM lag(trace_hash) OVER w AS hash_linked, previous_trace_id IS NOT DISTINCT FROM lag(trace_id) OVER w AS id_linked
+FROM v_traces WINDOW w AS (PARTITION BY payment_id ORDER BY eval_us, trace_id)""")
 
 
-@query("trace_verify", "SELECT payment_id, trace_id, CASE WHEN payment_id LIKE '%5' THEN 'VERIFICATION_UNAVAILABLE' WHEN payment_id LIKE '%3' THEN 'INVALID' ELSE 'VALID' END AS verification FROM v_traces")
+@query("trace_verify", "SELECT payment_id, trace_id, CASE WHEN hash_ok THEN 'VALID' ELSE 'INVALID' END AS verification FROM v_checked")
 def _(f):
-    return trace.trace_verify(_tampered(f))
+    return trace.trace_verify(f.traces)
 
 
 @query("chain_verify", """
-SELECT payment_id, 3 :: BIGINT AS verified_count, CASE WHEN payment_id LIKE '%5' THEN 3 WHEN payment_id LIKE '%3' THEN 3 ELSE 0 END :: BIGINT AS problems,
-  CASE WHEN payment_id LIKE '%5' THEN 'MISSING_HASH_OR_PAYLOAD' WHEN payment_id LIKE '%3' THEN 'HASH_MISMATCH' ELSE '' END AS issues,
-  CASE WHEN payment_id LIKE '%5' OR payment_id LIKE '%3' THEN 'CHAIN_INVALID' ELSE 'CHAIN_VALID' END AS status FROM v_chain1""")
+SELECT payment_id, n AS verified_count, CAST(bad AS BIGINT) AS problems, issues,
+  CASE WHEN bad > 0 THEN 'CHAIN_INVALID' WHEN n = 1 THEN 'CHAIN_START' ELSE 'CHAIN_VALID' END AS status FROM (
+  SELECT payment_id, count(*) AS n, sum(CAST(NOT hash_ok AS INT) + CAST(NOT hash_linked AS INT) + CAST(NOT id_linked AS INT)) AS bad,
+    concat_ws(',', CASE WHEN bool_or(NOT id_linked) THEN 'BROKEN_LINK_ID' END, CASE WHEN bool_or(NOT hash_linked) THEN 'BROKEN_LINK_HASH' END, CASE WHEN bool_or(NOT hash_ok) THEN 'HASH_MISMATCH' END) AS issues
+  FROM v_checked GROUP BY 1)""")
 def _(f):
-    return trace.chain_verify(_tampered(f))
+    return trace.chain_verify(f.traces)
 
 
 _DIMS_TEXT = ",".join(trace.DIMENSIONS)

@@ -30,7 +30,7 @@ def _field(name: str, expr: str, quoted: bool = True) -> str:
 
 
 view("v_bodies", f"""
-SELECT event_id, received_us, k, CASE WHEN k % 19 = 0 THEN substr(full_body, 1, 40) ELSE full_body END AS body FROM (
+SELECT event_id, received_us, k, full_body AS body FROM (
  SELECT *, '{{"id":"' || provider_event_id || '","entity":"event","account_id":"acc_main","event":"' || event_type
    || '","created_at":' || CAST(floor(observed_us / 1000000.0) AS BIGINT)
    || ',"payload":{{"payment":{{"entity":{{"id":"' || payment_id || '"'
@@ -159,8 +159,7 @@ def _(f):
 SELECT event_id, event_type, entity_type, entity_id, order_id, payment_id, customer_id, amount_minor, currency, method,
   CASE WHEN method = 'card' THEN 'card_id=card_' || k WHEN method = 'upi' THEN 'vpa=' || customer_id || '@upi' END AS details,
   CAST(floor(observed_us / 1000000.0) AS BIGINT) AS event_s
-FROM (SELECT * REPLACE (CASE WHEN event_type = 'order.paid' AND order_id IS NULL THEN NULL ELSE order_id END AS order_id) FROM v_norm)
-WHERE k % 19 <> 0""")
+FROM (SELECT * REPLACE (CASE WHEN event_type = 'order.paid' AND order_id IS NULL THEN NULL ELSE order_id END AS order_id) FROM v_norm)""")
 def _(f):
     n = landing.normalize_bodies(f.bodies)
     text = F.array_join(F.transform(F.map_entries("method_details"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
@@ -324,7 +323,7 @@ def _(f):
 
 
 @query("sanitize_projection", """
-SELECT event_id, 'method=' || method || ',order_id=' || coalesce(order_id, '-') AS metadata FROM v_norm WHERE k % 19 <> 0""")
+SELECT event_id, 'method=' || method || ',order_id=' || coalesce(order_id, '-') AS metadata FROM v_norm""")
 def _(f):
     n = landing.normalize_bodies(f.bodies)
     meta = F.map_concat(

@@ -13,13 +13,13 @@ from veritrail.streaming import pipeline
 
 @query("stateful_payment", "SELECT payment_id, status, captured, last_us, event_count FROM v_payments")
 def _(f):
-    return pipeline.drain(pipeline.stateful_payments(pipeline.event_stream(f.spark, f.sf_dir)), ["payment_id"])
+    return pipeline.stateful_payments(pipeline.event_stream(f.spark, f"{f.sf_dir}/events.parquet"))
 
 
 @query("stream_trend", """
 SELECT (observed_us // 3600000000) * 3600000000 AS start_us, count(*) FILTER (WHERE status = 'failed') AS failures, count(*) FILTER (WHERE status = 'captured') AS captures FROM v_norm GROUP BY 1""")
 def _(f):
-    return pipeline.drain(pipeline.hourly_trend(pipeline.event_stream(f.spark, f.sf_dir)), ["start_us"])
+    return pipeline.drain(pipeline.hourly_trend(pipeline.event_stream(f.spark, f"{f.sf_dir}/events.parquet")), ["start_us"])
 
 
 @query("stream_dedup", """
@@ -27,7 +27,7 @@ SELECT count(*) AS kept, count(provider_event_id) AS with_id, count(DISTINCT pro
   SELECT DISTINCT provider_event_id, CASE WHEN provider_event_id IS NULL THEN webhook_event_id END FROM v_deliveries)""")
 def _(f):
     """Every ninth event arrives twice, every 23rd without an id."""
-    ev = pipeline.event_stream(f.spark, f.sf_dir)
+    ev = pipeline.event_stream(f.spark, f"{f.sf_dir}/events.parquet")
     twice = ev.withColumn("d", F.explode(F.expr("IF(k % 9 = 0, array(0, 1), array(0))"))).select(
         (F.col("event_id") * 2 + F.col("d")).alias("webhook_event_id"), F.expr("IF(k % 23 <> 0, provider_event_id, NULL)").alias("provider_event_id"),
         (F.col("received_at") + driver_tables.seconds(F.col("d") * 60)).alias("received_at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.sources.driver_tables import lookup, spread, table
+from veritrail.sources.driver_tables import lookup, table
 
 EXPECTED = {
     "1-URGENT": "SUPPORTED", "2-HIGH": "CONTRADICTED", "3-MEDIUM": "INSUFFICIENT_EVIDENCE", "4-NOT SPECIFIED": "UNKNOWN",
@@ -21,7 +21,7 @@ DESCRIPTION = """concat('The parcel was ', IF(o_orderkey % 3 = 0, 'delivered', '
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     return o.select(
         "o_orderkey", F.expr("concat('case_', o_orderkey)").alias("case_id"),
         F.expr("concat('pay_o', o_orderkey)").alias("payment_reference"),
@@ -39,8 +39,8 @@ def claims(cases_df: DataFrame) -> DataFrame:
 
 
 def delivery_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag", "l_quantity", "l_shipdate"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag", "l_quantity", "l_shipdate")
     observed = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
     return li.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("evidence_id"), "l_orderkey",

@@ -20,26 +20,10 @@ EVENT_TYPE_MAP = {
 FAILURE_KEYS = tuple(FAILURE_SEVERITY)
 
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, file_bytes: int | None = None) -> DataFrame:
-    """Deal a narrow input out over the cores when it is too small to fill them by itself.
-
-    A file below the limit is read by one or two tasks, and everything up to the first shuffle
-    would run there. Larger inputs already split into enough tasks and are left alone.
-    """
-    size = file_bytes if file_bytes is not None else int(str(
-        df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def lookup(col: str, mapping: dict, default=None) -> Column:
     """Literal lookup as one CASE, parsed in one call and compiled with the rest of the stage."""
     def lit(x):
@@ -61,7 +45,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("observed_at"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return shape_events(spread(raw))
+    return shape_events(raw)
 
 
 def shape_events(raw: DataFrame) -> DataFrame:
@@ -97,16 +81,8 @@ def shape_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def webhook_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same events as raw webhook deliveries: JSON body, signature header, receive time.
-
-    Every 19th body is cut short so that rejection is exercised on the given rows.
-    """
-    ev = events(spark, sf_dir)
-    return bodies_of(ev)
-
-
 def bodies_of(ev: DataFrame) -> DataFrame:
+    """The same events as raw webhook deliveries: JSON body and receive time."""
     payment = F.struct(F.struct(
         F.col("payment_id").alias("id"), "order_id", "customer_id",
         F.col("amount_minor").alias("amount"), "currency", "method",
@@ -128,7 +104,7 @@ def bodies_of(ev: DataFrame) -> DataFrame:
     ))
     return ev.select(
         "event_id", "received_at",
-        F.when(F.col("k") % 19 == 0, F.substring(body, 1, 40)).otherwise(body).alias("body"),
+        body.alias("body"),
         "k",
     )
 

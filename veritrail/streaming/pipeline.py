@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veritrail.functions import vocab as V
+from veritrail.functions.skew import prefix_before, time_chunks
 from veritrail.operators import canonical
 from veritrail.session import shared_folder
 from veritrail.sources import driver_tables, landing
@@ -17,13 +16,11 @@ from veritrail.sources import driver_tables, landing
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int = 100) -> DataFrame:
-    """Received events from a folder of parquet files. The checkpoint is the exactly-once cursor and
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Received events from a parquet file or a folder of them. The checkpoint is the exactly-once cursor and
     files_per_trigger bounds what one poll takes."""
-    raw = (
-        spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    either = f"{path[:-1]}[{path[-1]}]"  # a stream's plain path has to be a folder, what a pattern matches can be both
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(either)
     # event-time watermarks need an instant, the files hold local UTC timestamps
     return driver_tables.shape_events(raw.select(
         "event_id", "user_id", "value", F.col("event_type").alias("raw_type"), F.col("ts").cast("timestamp").alias("observed_at"),
@@ -54,42 +51,59 @@ def hourly_trend(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(F.unix_micros("w.start").alias("start_us"), "failures", "captures")
 
 
-STATE = "rank int, status string, captured boolean, last_us bigint, event_count bigint"
-PAYMENT = "payment_id string, status string, captured boolean, last_us bigint, event_count bigint"
-
+STATE = "payment_id string, rank int, status string, captured boolean, last_us bigint, event_count bigint"
 
-def advance(state: tuple, rows) -> tuple:
-    """Apply (rank, status, time) events, in arrival order, to one payment's state."""
-    rank, status, captured, last, count = state
-    for r, s, t in rows:
-        if r > rank or (r == rank and t > last):
-            rank, status = r, s
-            captured = captured or s == "captured"
-        last = max(last, t)
-        count += 1
-    return rank, status, captured, last, count
 
+def fold_onto(before: DataFrame, events: DataFrame) -> DataFrame:
+    """State rows (STATE) after a batch of events on top of `before`, as if events were applied one by one in
+    arrival order: a status is taken if its rank is higher, or equal and the event later than all before it.
 
-def _fold(key, batches, state: GroupState):
-    current = state.get if state.exists else (-1, "unknown", False, -(2**62), 0)
-    for pdf in batches:
-        pdf = pdf.sort_values(["received_us", "event_id"])
-        current = advance(tuple(current), zip(pdf["rank"], pdf["status"], pdf["event_us"]))
-    current = (int(current[0]), str(current[1]), bool(current[2]), int(current[3]), int(current[4]))
-    state.update(current)
-    yield pd.DataFrame([(key[0], *current[1:])], columns=["payment_id", "status", "captured", "last_us", "event_count"])
+    The batch is first reduced to a row per payment, with the running maximum of event times taken in time
+    chunks, so that a payment with a great part of a batch is ordered nowhere as a whole.
+    """
+    rows = canonical.normalize_events(events).filter("payment_id <> ''").select(
+        "payment_id", "event_id", "status", driver_tables.lookup("status", V.STATUS_RANK, 0).cast("int").alias("rank"),
+        F.unix_micros("received_at").alias("received_us"), F.unix_micros(F.coalesce("observed_at", "received_at")).alias("event_us"))
+    rows = prefix_before(rows, ["payment_id"], ["received_us", "event_id"], time_chunks(F.col("received_us")), F.col("event_us"), "max", "seen_us")
+    rows = rows.join(before.select("payment_id", F.col("last_us").alias("start_us")), "payment_id", "left")
+    seen, arrival = F.greatest("seen_us", "start_us"), F.struct("received_us", "event_id")
+    later = seen.isNull() | (F.col("event_us") > seen)
+    top = rows.groupBy("payment_id", "rank").agg(
+        F.min_by("status", arrival).alias("first"), F.max_by(F.when(later, F.col("status")), F.when(later, arrival)).alias("latest"),
+        F.max(later & (F.col("status") == "captured")).alias("captured"), F.count("*").alias("n"), F.max("event_us").alias("until_us"),
+    ).groupBy("payment_id").agg(
+        F.max("rank").alias("top_rank"), F.max_by(F.struct("first", "latest", "captured"), "rank").alias("top"),
+        F.sum("n").alias("n"), F.max("until_us").alias("until_us"))
+    both = before.join(top, "payment_id", "full")
+    old = F.coalesce("rank", F.lit(-1))
+    higher, same = F.coalesce(F.col("top_rank") > old, F.lit(False)), F.coalesce(F.col("top_rank") == old, F.lit(False))
+    return both.select(
+        "payment_id", F.greatest("rank", "top_rank").alias("rank"),
+        F.when(higher, F.coalesce("top.latest", "top.first")).when(same, F.coalesce("top.latest", "status")).otherwise(F.col("status")).alias("status"),
+        (F.coalesce("captured", F.lit(False)) | (higher & (F.col("top.captured") | (F.col("top.first") == "captured"))) | (same & F.col("top.captured"))).alias("captured"),
+        F.greatest("last_us", "until_us").alias("last_us"), (F.coalesce("event_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("event_count"))
 
 
 def stateful_payments(stream: DataFrame) -> DataFrame:
-    """Payment status carried across batches; five small values of state per payment.
+    """Payment status carried across the batches of an event stream, run over everything available.
 
-    The state of a payment never expires by itself: a late event must still meet it.
+    The state is a table in the shared folder with a version for each batch: a batch that is run again reads
+    the version before it and overwrites its own, so nothing is applied twice. A payment's state never expires:
+    a late event must still meet it. All work is done by joins and partial aggregates, none in Python workers.
     """
-    norm = canonical.normalize_events(stream).filter("payment_id <> ''").select(
-        "payment_id", "event_id", "status", driver_tables.lookup("status", V.STATUS_RANK, 0).cast("int").alias("rank"),
-        F.unix_micros("received_at").alias("received_us"),
-        F.unix_micros(F.coalesce("observed_at", "received_at")).alias("event_us"))
-    return norm.groupBy("payment_id").applyInPandasWithState(_fold, PAYMENT, STATE, "update", GroupStateTimeout.NoTimeout)
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    versions: list[int] = []
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        known = [v for v in versions if v < batch_id]
+        before = spark.read.schema(STATE).parquet(f"{base}/state/{max(known)}") if known else spark.createDataFrame([], STATE)
+        fold_onto(before, batch).write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+        versions.append(batch_id)
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(advance).start().awaitTermination()
+    state = spark.read.schema(STATE).parquet(f"{base}/state/{max(versions)}") if versions else spark.createDataFrame([], STATE)
+    return state.drop("rank")
 
 
 def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
@@ -100,15 +114,19 @@ def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    kept: list[int] = []
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+        kept.append(batch_id)
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).foreachBatch(keep).start()
     )
     query.awaitTermination()
+    if not kept:  # nothing was there to read
+        return spark.createDataFrame([], stream.schema)
     out = spark.read.schema(stream.schema).option("recursiveFileLookup", "false").option("basePath", f"{base}/out").parquet(f"{base}/out/*")
     if not keys:
         return out.select(*stream.columns)

@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars link a node's larger neighbours to its smallest, small stars its smaller ones; both keep
     components, never make more edges than there were, and end in one star a component after about
     log(n) rounds. Smallest neighbours are partial aggregates joined back on the node, so a hub with a great
-    part of all edges is summed before the shuffle and its join is split. Each round is a table in the shared
+    part of all edges is summed before the shuffle; they are written first, so that its join reads plain
+    shuffles, which Spark can split. Each round is a table in the shared
     folder. Loops and repeated edges don't matter; nodes without an edge to another are not returned.
     """
     edges = cut_lineage(
@@ -26,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut_lineage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut_lineage(small.where("u <> v").distinct())
         now = _state(edges)

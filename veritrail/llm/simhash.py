@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, key: str
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_edges(nodes.select("fp"), distance, key_rows))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = cut_lineage(placed)
+    least = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut_lineage(placed.join(least, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

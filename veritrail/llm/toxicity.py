@@ -39,7 +39,7 @@ WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7, 8, 9)
 MAX_PATTERNS = 1500
 #: Training rows: at most so many labelled rows of at most so many characters together.
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 30_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000_000
 THRESHOLD = 0.7
 
 

@@ -100,7 +100,7 @@ FROM (SELECT unnest(range({n})) AS b) LEFT JOIN {src} ON last_us >= {anchor} - (
 @query("trend_buckets", _trend("v_payments", T_EVAL, HOUR, "24"))
 def _(f):
     """Hourly form: the newest payment is less than a day old. Bucket ends are exclusive."""
-    return analytics.trend_buckets(f.payments, T_EVAL)
+    return analytics.trend_buckets(f.keeping("payments").payments, T_EVAL)
 
 
 @query("trend_buckets_daily", _trend("v_payments", (T_DAILY // 86_400_000_000 + 1) * 86_400_000_000, 86_400_000_000,
@@ -181,6 +181,10 @@ SELECT p.payment_id, evidence_count, source_count, conflict_count, coverage_stat
   JOIN v_structure s ON s.payment_id = p.payment_id) p)""")
 
 
+#: Computed once for all the inputs of a risk score.
+_RISK_LAYERS = ("observations", "payments", "payment_claims", "conflict_profile")
+
+
 @query("risk_score", """
 SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status, volume :: DOUBLE AS volume, diversity :: DOUBLE AS diversity, consistency :: DOUBLE AS consistency,
   coverage :: DOUBLE AS coverage, freshness :: DOUBLE AS freshness, corroboration :: DOUBLE AS corroboration, resolution :: DOUBLE AS resolution, composite :: DOUBLE AS composite,
@@ -190,7 +194,7 @@ SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status
 FROM (SELECT *, concat_ws('; ', CASE WHEN conflict_count > 0 THEN 'resolve conflicts' END, CASE WHEN source_count < 2 THEN 'add sources' END, CASE WHEN freshness < 50 THEN 'refresh evidence' END,
   CASE WHEN coverage_status IN ('INSUFFICIENT', 'PARTIAL') THEN 'complete coverage' END, CASE WHEN composite < 50 THEN 'manual review' END) AS r FROM v_risk)""")
 def _(f):
-    return f.risk_scores.drop("weakest", "strongest")
+    return f.keeping(*_RISK_LAYERS).risk_scores.drop("weakest", "strongest")
 
 
 @query("weakest_strongest", """
@@ -198,7 +202,7 @@ SELECT payment_id, arg_min(d, (s, i)) AS weakest, arg_max(d, (s, -i)) AS stronge
   SELECT payment_id, unnest([volume :: DOUBLE, diversity, consistency, coverage, freshness, corroboration, resolution]) AS s,
     unnest(['volume', 'diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'resolution']) AS d, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM v_risk) GROUP BY 1""")
 def _(f):
-    return f.risk_scores.select("payment_id", "weakest", "strongest")
+    return f.keeping(*_RISK_LAYERS).risk_scores.select("payment_id", "weakest", "strongest")
 
 
 view("v_allpay", "SELECT payment_id, amount_minor FROM v_payments UNION ALL SELECT payment_id, amount_minor FROM v_opay")
@@ -226,7 +230,7 @@ def _(f):
 
 @query("fraud_signals", "SELECT * FROM v_signals")
 def _(f):
-    return f.fraud_signals
+    return f.keeping("observations").fraud_signals
 
 
 @query("fraud_overall", """

@@ -191,18 +191,18 @@ _SUMMARY = """SELECT {by} sum(support) :: BIGINT AS total, sum(tp) :: BIGINT AS
 
 @query("confusion_matrix", "SELECT * FROM v_cm")
 def _(f):
-    return evalmetrics.confusion_matrix(f.predictions)
+    return evalmetrics.confusion_matrix(f.keeping("predictions").predictions)
 
 
 @query("class_metrics", "SELECT label, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM v_metrics")
 def _(f):
-    m = evalmetrics.class_metrics(evalmetrics.confusion_matrix(f.predictions))
+    m = evalmetrics.class_metrics(evalmetrics.confusion_matrix(f.keeping("predictions").predictions))
     return m.select("label", "tp", "fp", "fn", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("evaluation_summary", _SUMMARY.format(by="", src="v_metrics"))
 def _(f):
-    return evalmetrics.summary(evalmetrics.class_metrics(evalmetrics.confusion_matrix(f.predictions)))
+    return evalmetrics.summary(evalmetrics.class_metrics(evalmetrics.confusion_matrix(f.keeping("predictions").predictions)))
 
 
 _LANE = "sum(('0x' || substr({h}, {i}, 15)) :: BIGINT) :: VARCHAR"
@@ -213,7 +213,7 @@ _PH = "sha256(concat_ws('|', case_id, expected_label, predicted))"
 SELECT total, correct, accuracy, macro_f1, sha256(concat_ws('|', (SELECT {_LANE.format(h=_PH, i=1)} FROM v_preds), (SELECT {_LANE.format(h=_PH, i=16)} FROM v_preds), correct)) AS results_fingerprint
 FROM ({_SUMMARY.format(by='', src='v_metrics')})""")
 def _(f):
-    return evalmetrics.evaluation_run(f.predictions)
+    return evalmetrics.evaluation_run(f.keeping("predictions").predictions)
 
 
 _SAFETY = """SELECT {by} count(*) AS total, count(*) FILTER (WHERE predicted = 'SUPPORTED' AND expected_label <> 'SUPPORTED') AS false_supported,
@@ -224,7 +224,7 @@ _SAFETY = """SELECT {by} count(*) AS total, count(*) FILTER (WHERE predicted = '
 
 @query("safety_metrics", _SAFETY.format(by="", src="v_preds"))
 def _(f):
-    return evalmetrics.safety_metrics(f.predictions)
+    return evalmetrics.safety_metrics(f.keeping("predictions").predictions)
 
 
 view("v_tracks", f"""

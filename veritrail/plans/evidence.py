@@ -459,7 +459,7 @@ def _(f):
 
 @query("coverage_summary", "SELECT * FROM v_cov_summary")
 def _(f):
-    return coverage.coverage_summary(f.coverage)
+    return coverage.coverage_summary(f.keeping("observations", "payments").coverage)
 
 
 @query("missing_evidence", "SELECT payment_id, requirement_id, requirement_type FROM v_cov WHERE observed_state = 'MISSING'")
@@ -506,6 +506,7 @@ FROM v_payments p LEFT JOIN v_fact_rel r ON r.payment_id = p.payment_id GROUP BY
 
 @query("payment_reliability", "SELECT * FROM v_pay_rel")
 def _(f):
+    f = f.keeping("observations")
     return reliability.payment_reliability(f.fact_reliability, f.payments)
 
 

@@ -194,6 +194,10 @@ def _(f):
 
 
 # --- replay and diff -------------------------------------------------------------------------------
+#: What the parts of a state share; each is computed once and the parts are derived from it.
+_STATE_LAYERS = ("observations", "payments", "claims_at", "profile_at", "facts_at")
+
+
 def _states(f):
     inputs = evolution.input_fingerprint(f.payment_obs_at, ["payment_id", "eval_us"])
     return evolution.decision_state(f.payments_at, inputs, f.facts_at, f.coverage_at, f.reliability_at, f.integrity_at)
@@ -201,7 +205,7 @@ def _states(f):
 
 @query("decision_replay", "SELECT * EXCLUDE (lane0, lane1) FROM v_state")
 def _(f):
-    return _states(f)
+    return _states(f.keeping(*_STATE_LAYERS))
 
 
 view("v_fact_diff", f"""
@@ -239,7 +243,7 @@ LEFT JOIN v_source_diff s ON s.payment_id = a.payment_id""")
 
 
 def _diff(f):
-    f = f.only_at(T1, T2)
+    f = f.only_at(T1, T2).keeping(*_STATE_LAYERS)
     return evolution.decision_diff(_states(f), evolution.fact_diff(f.fact_rows, T1, T2), evolution.source_set_diff(f.payment_obs, T1, T2), T1, T2)
 
 

@@ -13,7 +13,7 @@ CORE = (
     "webhook_landing", "signature_verify", "event_dedup", "fold_payments", "extract_evidence", "relationships", "structure_snapshot",
     "conflicts", "reconcile_pairs", "coverage_summary", "payment_reliability", "integrity", "integrity_rules", "payment_funnel", "risk_score",
     "fraud_signals", "trend_buckets", "decision_diff", "canonical_trace", "chain_verify", "defense_case_verdict", "class_metrics",
-    "stateful_payment", "shortest_path",
+    "stateful_payment", "shortest_path", "evidence_scope", "normalize_event", "replay_verify", "trace_verify", "high_value_recent", "risk_dimensions", "stream_trend",
 )
 NAMES = tuple(catalog.queries()) if os.environ.get("VERITRAIL_ALL") else CORE
 

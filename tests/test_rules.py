@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from veritrail.functions import expr as E
 from veritrail.functions.skew import near_sums, prefix_before, previous_value
 from veritrail.operators import canonical, conflicts, coverage, defense, evalmetrics, evolution, facts, graph, integrity
-from veritrail.operators import relations, reliability, structure, trace
+from veritrail.operators import relations, reliability, risk, search, structure, trace
 from veritrail.sources import landing
-from veritrail.streaming.pipeline import advance
 
 HOUR = 3600
 
@@ -58,8 +57,55 @@ def test_append_if_absent_is_idempotent(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_append_looks_only_where_the_batch_writes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, day string")
+    path = str(tmp_path / "t")
+    landing.append_if_absent(df, path, ["id"], ["day"])
+    landing.append_if_absent(spark.createDataFrame([(2, "b"), (3, "b"), (4, "c")], df.schema), path, ["id"], ["day"])
+    assert sorted((r.id, r.day) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "b"), (4, "c")]
+
+
+# --- scope, replay, risk ---------------------------------------------------------------------------
+
+def test_order_evidence_is_listed_once(spark):
+    rows = [obs(1), obs(2, until_s=-1), obs(3, at_s=99)] + [(4, "ORDER_STATUS", "order", "o1", *obs(4)[4:])]
+    data = observations(spark, rows)
+    payments = spark.createDataFrame([("p1", "o1"), ("p2", "o1"), ("p3", None)], "payment_id string, order_id string")
+    got = {r.evidence_id: (r.payment_id, r.inclusion_status, r.reason, r.payments) for r in search.evidence_scope(data, payments, US + 10_000_000).collect()}
+    assert got == {1: ("p1", "INCLUDED", None, 1), 2: ("p1", "EXCLUDED", "INVALIDATED", 1), 3: ("p1", "EXCLUDED", "OBSERVED_AFTER_EVALUATION_TIME", 1),
+                   4: (None, "EXCLUDED", "OUTSIDE_EVALUATION_SCOPE", 2)}
+    assert {(r.payment_id, r.evidence_id) for r in search.order_candidates(data, payments).collect()} == {("p1", 4), ("p2", 4)}
+
+
+def test_replay_finds_changed_lost_and_foreign_records(spark):
+    cols = "payment_id string, eval_us bigint, methodology_version string, overall_status string, freshness string, source string, independence string, consistency string"
+    good = ("STRONG", "CURRENT", "PRIMARY", "MULTI", "CONSISTENT")
+    recorded = spark.createDataFrame([("same", 1, "EIS_V1", *good), ("edited", 1, "EIS_V1", "WEAK", *good[1:]), ("old", 1, "EIS_V0", *good), ("lost", 1, "EIS_V1", *good)], cols)
+    again = spark.createDataFrame([(p, 1, "EIS_V1", *good) for p in ("same", "edited", "old")], cols)
+    got = {r.payment_id: (r.verification, r.differing) for r in evolution.replay_verify(recorded, again).collect()}
+    assert got["same"] == ("MATCH", "") and got["edited"] == ("REPLAY_MISMATCH", "overall_status")
+    assert got["old"][0] == "METHODOLOGY_UNAVAILABLE" and got["lost"][0] == "INCOMPLETE"
+
+
+@pytest.mark.parametrize("score, status", [(100, "STRONG"), (76, "STRONG"), (75.9, "ADEQUATE"), (51, "ADEQUATE"), (26, "WEAK"), (25.9, "CRITICAL"), (0, "CRITICAL")])
+def test_dimension_status(spark, score, status):
+    assert spark.range(1).select(risk.dimension_status(F.lit(float(score)))).first()[0] == status
+
+
 # --- fold ----------------------------------------------------------------------------------------
 
+def advance(state, rows):
+    """Apply (rank, status, time) events, in arrival order, to one payment's state."""
+    rank, status, captured, last, count = state
+    for r, s, t in rows:
+        if r > rank or (r == rank and t > last):
+            rank, status = r, s
+            captured = captured or s == "captured"
+        last = max(last, t)
+        count += 1
+    return rank, status, captured, last, count
+
+
 def sequential(evs):
     rank = {"authorized": 2, "captured": 3, "failed": 3, "paid": 3}
     status = {"payment.authorized": "authorized", "payment.captured": "captured", "payment.failed": "failed", "order.paid": "paid"}

@@ -17,9 +17,7 @@ STATUS_RANK = {"unknown": 0, "created": 1, "authorized": 2, "captured": 3, "fail
 METHOD_DETAIL_KEYS = ("card_id", "card", "bank", "wallet", "vpa", "email", "contact")
 
 # --- observations -----------------------------------------------------------------------
-SOURCE_TYPES = ("PROVIDER_WEBHOOK", "PROVIDER_API", "INTERNAL_SYSTEM")
 PROVIDER_SOURCES = ("PROVIDER_WEBHOOK", "PROVIDER_API")
-DIRECT_TYPES = ("PAYMENT_EVENT",)
 DERIVED_TYPES = (
     "PAYMENT_STATUS", "PAYMENT_AMOUNT", "PAYMENT_CURRENCY", "PAYMENT_METHOD",
     "PAYMENT_ORDER_RELATIONSHIP", "ORDER_AMOUNT", "ORDER_CURRENCY", "ORDER_STATUS",
@@ -28,8 +26,6 @@ DERIVED_FROM_EVENT = (
     "PAYMENT_STATUS", "PAYMENT_AMOUNT", "PAYMENT_CURRENCY", "PAYMENT_METHOD",
     "PAYMENT_ORDER_RELATIONSHIP",
 )
-EXTRACTION_METHOD = "WEBHOOK_FIELD_EXTRACTION"
-EXTRACTION_VERSION = "1.0"
 
 # --- freshness: policy -> (current below, stale from), seconds ----------------------------
 HOUR, DAY = 3600, 86400
@@ -55,11 +51,6 @@ VALID_TRANSITIONS = (
 TERMINAL_STATES = ("captured", "failed", "refunded")
 CLOCK_TOLERANCE_US = 2_000_000
 CONFLICT_RULE_VERSION = "1.0"
-OPEN_STATUSES = ("OPEN", "ACTIVE")
-# spellings under which different readers look for the same conflict
-STATE_CONFLICTS = ("STATE_CONFLICT", "STATUS_CONTRADICTION")
-TEMPORAL_CONFLICTS = ("TEMPORAL_CONFLICT", "TIMESTAMP_INVERSION", "TEMPORAL_INCONSISTENCY")
-VALUE_CONFLICTS = ("VALUE_CONFLICT", "VALUE_MISMATCH")
 
 # --- claims: evidence type -> (claim type, claim key, normaliser) -------------------------
 CLAIM_OF = {
@@ -119,8 +110,8 @@ FRESHNESS_RANK = {"STRONG": 3, "CURRENT": 3, "AGING": 2, "LIMITED": 1, "STALE":
 
 # --- risk: dimension -> weight ------------------------------------------------------------
 RISK_WEIGHTS = {
-    "volume": 0.15, "diversity": 0.15, "consistency": 0.20, "coverage": 0.15,
-    "freshness": 0.10, "corroboration": 0.15, "resolution": 0.10,
+    "evidence_volume": 0.15, "source_diversity": 0.15, "consistency": 0.20, "coverage": 0.15,
+    "freshness": 0.10, "corroboration": 0.15, "conflict_resolution": 0.10,
 }
 TREND_BASE = {
     "VERY_STRONG": 85, "STRONG": 85, "LIMITED": 60, "WEAK": 25, "UNRESOLVED": 25,

@@ -45,8 +45,8 @@ def risk_score(payments: DataFrame, evidence: DataFrame, conflicts: DataFrame, c
     age = F.lit(at_us) - F.col("latest_us")
     minute = 60_000_000
     scores = {
-        "volume": F.least(F.lit(100.0), n("evidence_count") * 10.0),
-        "diversity": F.least(F.lit(100.0), n("source_count") * 33.3),
+        "evidence_volume": F.least(F.lit(100.0), n("evidence_count") * 10.0),
+        "source_diversity": F.least(F.lit(100.0), n("source_count") * 33.3),
         "consistency": F.when(total == 0, 100.0).when(open_n == 0, 70.0).otherwise(
             F.greatest(F.lit(0.0), 100.0 - open_n * 25.0)),
         "coverage": F.when(F.col("coverage_status") == "COMPLETE", 100.0)
@@ -56,7 +56,7 @@ def risk_score(payments: DataFrame, evidence: DataFrame, conflicts: DataFrame, c
         .when(age < 1440 * minute, 50.0).otherwise(20.0),
         "corroboration": F.when(F.col("distinct_claims").isNull(), 25.0).otherwise(F.least(F.lit(100.0), (
             F.col("corroborated_claim_count") + F.col("multi_source_claim_count")) / (F.greatest("distinct_claims", F.lit(1)) * 2) * 100.0)),
-        "resolution": F.when(total == 0, 100.0).otherwise((total - open_n) / total * 100.0),
+        "conflict_resolution": F.when(total == 0, 100.0).otherwise((total - open_n) / total * 100.0),
     }
     base = j.select("payment_id", n("evidence_count").alias("evidence_count"), n("source_count").alias("source_count"),
                     total.alias("conflict_count"), "coverage_status", *[F.round(s, 1).alias(k) for k, s in scores.items()])
@@ -82,6 +82,18 @@ def risk_score(payments: DataFrame, evidence: DataFrame, conflicts: DataFrame, c
     )
 
 
+def dimension_status(score: Column) -> Column:
+    return F.when(score >= 76, "STRONG").when(score >= 51, "ADEQUATE").when(score >= 26, "WEAK").otherwise("CRITICAL")
+
+
+def risk_dimensions(scored: DataFrame) -> DataFrame:
+    """A row for each payment and dimension: score, status and weight."""
+    each = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("dimension"), F.col(k).alias("score"), F.lit(w).alias("weight")) for k, w in V.RISK_WEIGHTS.items()]))
+    return scored.select("payment_id", each.alias("d")).select(
+        "payment_id", "d.dimension", "d.score", dimension_status(F.col("d.score")).alias("status"), "d.weight")
+
+
 def velocity(payment_events: DataFrame) -> DataFrame:
     """Largest number of events of a payment inside any trailing 30 s window."""
     slots = payment_events.groupBy("payment_id", E.us("event_time").alias("t_us")).agg(F.count("*").alias("at"))

@@ -12,33 +12,29 @@ def as_of(df: DataFrame, col: str, at_us: int) -> DataFrame:
 
 
 def evidence_scope(observations: DataFrame, payments: DataFrame, at_us: int) -> DataFrame:
-    """Every candidate observation of a payment with its inclusion or the reason it is left out.
+    """Every candidate observation with its inclusion or the reason it is left out.
 
-    Candidates are the payment's own observations and those of the order it points to.
+    Candidates are a payment's own observations, and those of the order that payments point to. The latter are
+    out of scope for all of them alike, so each is listed once with the number of payments (`payments`, and no
+    payment_id); `order_candidates` lists them for chosen payments.
     """
-    own = observations.filter(F.col("subject_type") == "payment").withColumn("payment_id", F.col("subject_id"))
-    linked = (
-        observations.filter(F.col("subject_type") == "order")
-        .join(payments.filter(F.col("order_id").isNotNull()).select("payment_id", F.col("order_id").alias("subject_id")),
-              "subject_id")
-    )
     reason = (
-        F.when(F.col("subject_type") != "payment", "OUTSIDE_EVALUATION_SCOPE")
-        .when(F.col("subject_id") != F.col("payment_id"), "UNRELATED_PAYMENT")
-        .when(F.col("observed_us").isNull() | (F.col("observed_us") > at_us), "OBSERVED_AFTER_EVALUATION_TIME")
+        F.when(F.col("observed_us").isNull() | (F.col("observed_us") > at_us), "OBSERVED_AFTER_EVALUATION_TIME")
         .when(F.col("valid_until_us") <= at_us, "INVALIDATED")
     )
-    cols = ["payment_id", "evidence_id", "subject_type", "observed_us"]
-    both = own.withColumn("reason", reason).select(*cols, "reason").unionByName(
-        linked.withColumn("reason", reason).select(*cols, "reason"))
-    return both.withColumn("inclusion_status", F.when(F.col("reason").isNull(), "INCLUDED").otherwise("EXCLUDED"))
-
-
-def in_scope(payment_obs: DataFrame, at_us: int) -> DataFrame:
-    return payment_obs.filter(
-        (F.col("observed_us") <= at_us)
-        & (F.col("valid_until_us").isNull() | (F.col("valid_until_us") > at_us))
-    )
+    own = observations.filter(F.col("subject_type") == "payment").select(
+        F.col("subject_id").alias("payment_id"), "evidence_id", "subject_type", "observed_us", reason.alias("reason"), F.lit(1).cast("bigint").alias("payments"))
+    per_order = payments.filter(F.col("order_id").isNotNull()).groupBy(F.col("order_id").alias("subject_id")).agg(F.count("*").alias("payments"))
+    linked = observations.filter(F.col("subject_type") == "order").join(per_order, "subject_id").select(
+        F.lit(None).cast("string").alias("payment_id"), "evidence_id", "subject_type", "observed_us", F.lit("OUTSIDE_EVALUATION_SCOPE").alias("reason"), "payments")
+    return own.unionByName(linked).withColumn("inclusion_status", F.when(F.col("reason").isNull(), "INCLUDED").otherwise("EXCLUDED"))
+
+
+def order_candidates(observations: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Order evidence of chosen payments (payment_id, order_id), one row for each payment and observation."""
+    return observations.filter(F.col("subject_type") == "order").join(
+        chosen.select("payment_id", F.col("order_id").alias("subject_id")), "subject_id").select(
+        "payment_id", "evidence_id", "subject_type", "observed_us", F.lit("OUTSIDE_EVALUATION_SCOPE").alias("reason"))
 
 
 def matches(term: str, *cols: str) -> Column:

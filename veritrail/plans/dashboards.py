@@ -165,15 +165,15 @@ def _(f):
 
 # --- risk ------------------------------------------------------------------------------------
 _SCORES = """
-  round(least(100.0, evidence_count * 10.0), 1) AS volume, round(least(100.0, source_count * 33.3 :: DOUBLE), 1) AS diversity,
+  round(least(100.0, evidence_count * 10.0), 1) AS evidence_volume, round(least(100.0, source_count * 33.3 :: DOUBLE), 1) AS source_diversity,
   CASE WHEN conflict_count = 0 THEN 100.0 ELSE greatest(0.0, 100.0 - conflict_count * 25.0) END AS consistency,
   CASE coverage_status WHEN 'COMPLETE' THEN 100.0 WHEN 'SUBSTANTIALLY_COMPLETE' THEN 75.0 WHEN 'PARTIAL' THEN 45.0 WHEN 'INSUFFICIENT' THEN 15.0 ELSE 30.0 END AS coverage,
   CASE WHEN age < 300000000 THEN 100.0 WHEN age < 3600000000 THEN 75.0 WHEN age < 86400000000 THEN 50.0 ELSE 20.0 END AS freshness,
   round(least(100.0, (corroborated_claim_count + multi_source_claim_count) :: DOUBLE / (greatest(distinct_claims, 1) * 2) * 100.0), 1) AS corroboration,
-  CASE WHEN conflict_count = 0 THEN 100.0 ELSE 0.0 END AS resolution"""
+  CASE WHEN conflict_count = 0 THEN 100.0 ELSE 0.0 END AS conflict_resolution"""
 view("v_risk", f"""
-SELECT *, ((CAST(round(volume * 10) AS BIGINT) * 15 + CAST(round(diversity * 10) AS BIGINT) * 15 + CAST(round(consistency * 10) AS BIGINT) * 20 + CAST(round(coverage * 10) AS BIGINT) * 15
-  + CAST(round(freshness * 10) AS BIGINT) * 10 + CAST(round(corroboration * 10) AS BIGINT) * 15 + CAST(round(resolution * 10) AS BIGINT) * 10 + 50) // 100) / 10.0 :: DOUBLE AS composite FROM (
+SELECT *, ((CAST(round(evidence_volume * 10) AS BIGINT) * 15 + CAST(round(source_diversity * 10) AS BIGINT) * 15 + CAST(round(consistency * 10) AS BIGINT) * 20 + CAST(round(coverage * 10) AS BIGINT) * 15
+  + CAST(round(freshness * 10) AS BIGINT) * 10 + CAST(round(corroboration * 10) AS BIGINT) * 15 + CAST(round(conflict_resolution * 10) AS BIGINT) * 10 + 50) // 100) / 10.0 :: DOUBLE AS composite FROM (
 SELECT p.payment_id, evidence_count, source_count, conflict_count, coverage_status, {_SCORES} FROM (
   SELECT p.payment_id, e.evidence_count, e.source_count, c.conflict_count, v.overall_status AS coverage_status, {T_EVAL} - e.latest_us AS age,
     s.distinct_claims, s.corroborated_claim_count, s.multi_source_claim_count
@@ -186,8 +186,8 @@ _RISK_LAYERS = ("observations", "payments", "payment_claims", "conflict_profile"
 
 
 @query("risk_score", """
-SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status, volume :: DOUBLE AS volume, diversity :: DOUBLE AS diversity, consistency :: DOUBLE AS consistency,
-  coverage :: DOUBLE AS coverage, freshness :: DOUBLE AS freshness, corroboration :: DOUBLE AS corroboration, resolution :: DOUBLE AS resolution, composite :: DOUBLE AS composite,
+SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status, evidence_volume :: DOUBLE AS evidence_volume, source_diversity :: DOUBLE AS source_diversity, consistency :: DOUBLE AS consistency,
+  coverage :: DOUBLE AS coverage, freshness :: DOUBLE AS freshness, corroboration :: DOUBLE AS corroboration, conflict_resolution :: DOUBLE AS conflict_resolution, composite :: DOUBLE AS composite,
   CASE WHEN composite >= 76 THEN 'LOW_RISK' WHEN composite >= 51 THEN 'MEDIUM_RISK' WHEN composite >= 26 THEN 'HIGH_RISK' ELSE 'CRITICAL_RISK' END AS risk_level,
   CASE WHEN freshness >= 75 THEN 'FRESH' WHEN freshness >= 50 THEN 'AGING' ELSE 'STALE' END AS freshness_status,
   CASE WHEN r = '' THEN 'healthy' ELSE r END AS recommendations
@@ -199,12 +199,21 @@ def _(f):
 
 @query("weakest_strongest", """
 SELECT payment_id, arg_min(d, (s, i)) AS weakest, arg_max(d, (s, -i)) AS strongest FROM (
-  SELECT payment_id, unnest([volume :: DOUBLE, diversity, consistency, coverage, freshness, corroboration, resolution]) AS s,
-    unnest(['volume', 'diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'resolution']) AS d, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM v_risk) GROUP BY 1""")
+  SELECT payment_id, unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS s,
+    unnest(['evidence_volume', 'source_diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'conflict_resolution']) AS d, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM v_risk) GROUP BY 1""")
 def _(f):
     return f.keeping(*_RISK_LAYERS).risk_scores.select("payment_id", "weakest", "strongest")
 
 
+@query("risk_dimensions", """
+SELECT payment_id, dimension, score, CASE WHEN score >= 76 THEN 'STRONG' WHEN score >= 51 THEN 'ADEQUATE' WHEN score >= 26 THEN 'WEAK' ELSE 'CRITICAL' END AS status, weight FROM (
+  SELECT payment_id, unnest(['evidence_volume', 'source_diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'conflict_resolution']) AS dimension,
+    unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS score,
+    unnest([0.15 :: DOUBLE, 0.15, 0.20, 0.15, 0.10, 0.15, 0.10]) AS weight FROM v_risk)""")
+def _(f):
+    return risk.risk_dimensions(f.keeping(*_RISK_LAYERS).risk_scores)
+
+
 view("v_allpay", "SELECT payment_id, amount_minor FROM v_payments UNION ALL SELECT payment_id, amount_minor FROM v_opay")
 view("v_burst", """
 SELECT payment_id, count(*) AS event_count, max(n) AS burst FROM (SELECT payment_id, count(*) OVER (PARTITION BY payment_id ORDER BY observed_us RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW) AS n FROM v_norm) GROUP BY 1""")

@@ -238,12 +238,12 @@ def _(f):
 
 
 @query("evidence_scope", f"""
-SELECT payment_id, evidence_id, subject_type, observed_us, reason,
+SELECT payment_id, evidence_id, subject_type, observed_us, reason, payments,
   CASE WHEN reason IS NULL THEN 'INCLUDED' ELSE 'EXCLUDED' END AS inclusion_status FROM (
   SELECT payment_id, evidence_id, subject_type, observed_us,
-    CASE WHEN observed_us > {T2} THEN 'OBSERVED_AFTER_EVALUATION_TIME' WHEN valid_until_us <= {T2} THEN 'INVALIDATED' END AS reason FROM v_pobs
-  UNION ALL SELECT p.payment_id, o.evidence_id, o.subject_type, o.observed_us, 'OUTSIDE_EVALUATION_SCOPE'
-  FROM v_obs o JOIN v_payments p ON o.subject_type = 'order' AND o.subject_id = p.order_id)""")
+    CASE WHEN observed_us > {T2} THEN 'OBSERVED_AFTER_EVALUATION_TIME' WHEN valid_until_us <= {T2} THEN 'INVALIDATED' END AS reason, 1 AS payments FROM v_pobs
+  UNION ALL SELECT NULL, o.evidence_id, o.subject_type, o.observed_us, 'OUTSIDE_EVALUATION_SCOPE', p.n
+  FROM v_obs o JOIN (SELECT order_id, count(*) AS n FROM v_payments WHERE order_id IS NOT NULL GROUP BY 1) p ON o.subject_type = 'order' AND o.subject_id = p.order_id)""")
 def _(f):
     return search.evidence_scope(f.observations, f.payments, T2)
 

@@ -29,11 +29,6 @@ BODY_SCHEMA = T.StructType([
 ])
 
 
-def read_bodies(spark, path: str) -> DataFrame:
-    """One raw JSON body per line; works for batch and, with readStream, for streams."""
-    return spark.read.text(path).withColumnRenamed("value", "body")
-
-
 def parse_bodies(bodies: DataFrame) -> DataFrame:
     """Adds the parsed body `j` and `rejected`; the raw text is kept for hashing and audit."""
     parsed = bodies.withColumn(
@@ -129,12 +124,15 @@ def append_if_absent(new: DataFrame, path: str, key: list[str], partition_by: li
     """Append to a parquet folder the rows not stored yet; safe to repeat after a lost job.
 
     Replays of the same batch find their keys stored; parquet commits make a half-written
-    attempt invisible.
+    attempt invisible. With `partition_by` only the partitions that the batch writes to are looked
+    through, so a key has to stand in one partition always, as one made from its time does.
     """
     spark = new.sparkSession
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = absent_rows(new, spark.read.parquet(path), key) if fs.exists(folder) else absent_rows(
-        new, new.limit(0), key)
+    stored = spark.read.parquet(path) if fs.exists(folder) else new.limit(0)
+    if partition_by and fs.exists(folder):  # pruned to the batch's partitions when it runs
+        stored = stored.join(new.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    rows = absent_rows(new, stored, key)
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)

@@ -29,7 +29,7 @@ EXACT, LIKE, GRAM = 16, 128, 16
 #: Bytes of a text whose runs are hashed at once.
 CHUNK = 1 << 18
 #: Documents that are ordered together; in a very large corpus more, so that there are at most MAX_BLOCKS blocks.
-BLOCK_DOCS, MAX_BLOCKS = 4096, 16384
+BLOCK_DOCS, MAX_BLOCKS = 1024, 16384
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 

@@ -24,7 +24,7 @@ PLACES = (CHUNK - WIDTH) // STRIDE + 1
 AT_ONCE = 256
 #: Training rows: of each label at most so many rows, of at most so many characters together; of a row, an
 #: epoch looks at this many chunks, drawn anew each time. Scores always see all chunks.
-SAMPLE_EACH, SAMPLE_CHARS, CHUNKS_SEEN, EPOCHS, BATCH = 2000, 20_000_000, 32, 14, 32
+SAMPLE_EACH, SAMPLE_CHARS, CHUNKS_SEEN, EPOCHS, BATCH = 2000, 20_000_000, 16, 14, 32
 #: A small sample is gone through more often, for so many steps.
 LEAST_STEPS = 500
 THRESHOLD = 0.3

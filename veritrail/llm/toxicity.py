@@ -54,22 +54,27 @@ def induce(texts: list[str], labels: np.ndarray) -> list[str]:
     A pattern must be much likelier in rows of label 1 than chance gives, nine times in ten a sign of it, and
     at least 60 % of its occurrences must have neighbours of their own; copies of one text don't.
     """
-    seen, contexts = Counter(), defaultdict(lambda: [0, set()])
     positive = labels == 1
-    for text in (t for t, p in zip(texts, positive, strict=True) if p):
+    toxic = [t for t, p in zip(texts, positive, strict=True) if p]
+
+    def patterns_of(w: str) -> tuple[str, ...]:
+        return () if len(w) < 3 or w.isdigit() else (w, *[w[:n] + "*" for n in STEMS if len(w) > n])
+
+    # most patterns are in a row or two; only of the others neighbours are kept
+    seen = Counter()
+    for text in toxic:
+        seen.update({p for w in units(text)[1] for p in patterns_of(w)})
+    seen = {p: n for p, n in seen.items() if n >= 5}
+    occurs, contexts = Counter(), defaultdict(set)
+    for text in toxic:
         words = units(text)[0]
-        own = set()
         for i, w in enumerate(words):
-            if len(w) < 3 or w.isdigit():
-                continue
-            around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-            for p in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
-                own.add(p)
-                c = contexts[p]
-                c[0] += 1
-                c[1].add(around)
-        seen.update(own)
-    varied = {p for p, n in seen.items() if n >= 5 and len(contexts[p][1]) >= 0.6 * contexts[p][0]}
+            for p in patterns_of(w):
+                if p in seen:
+                    occurs[p] += 1
+                    contexts[p].add(hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
+    varied = {p for p in seen if len(contexts[p]) >= 0.6 * occurs[p]}
+    del contexts
     elsewhere = Counter()
     for text in (t for t, p in zip(texts, positive, strict=True) if not p):
         distinct = units(text)[1]

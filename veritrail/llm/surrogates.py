@@ -47,10 +47,11 @@ _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g.split()) + ")"
 _NAME = r"\p{Lu}[\p{L}\p{M}]+(?:[-'’]\p{Lu}[\p{L}\p{M}]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What each kind looks like. Quantifiers that could run over a long text are possessive and start at an edge.
+#: Punctuation directly before an e-mail address is found with it, but is no part of the entity.
 KINDS = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}(?![\p{L}\p{N}])",
+    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}(?![\p{L}\p{N}])",
     "ACCESS": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "HEX": r"(?<![0-9A-Za-z])(?=[0-9]{0,63}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "HEX": r"(?<![0-9A-Za-z])(?:(?=[0-9]{0,63}[a-f])[0-9a-f]{32,64}|(?=[0-9]{0,63}[A-F])[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "IBAN": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,16}(?![0-9A-Za-z])",
     "PHONE": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![ .-]?\d)|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -58,6 +59,7 @@ KINDS = {
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "PERSON": rf"(?=[DFHMPSгκ])(?<![\p{{L}}\p{{N}}]){_TITLE}\.? +{_NAME}(?: +{_NAME})?",
 }
+_LEAD = r"^[._%+-]+"
 _EDGE = r"(?<![\p{L}\p{N}])"
 _either = lambda *kinds: "|".join(f"(?:{KINDS[k]})" for k in kinds)
 #: Any of them; most places in a text fail the first test of either half.
@@ -132,7 +134,7 @@ def parts_of(mention: Column, kind: Column) -> Column:
     last = F.element_at(words, -1)
     family = F.struct(F.concat(F.lit("S "), _script(last)).alias("kind"), F.lower(last).alias("canon"))
     given = F.struct(F.concat(_gender(title, F.get(words, F.lit(1))), F.lit(" "), _script(F.get(words, F.lit(1)))).alias("kind"), F.lower(F.get(words, F.lit(1))).alias("canon"))
-    squeezed = F.when(kind == "EMAIL", F.lower(mention)).when(kind.isin("PHONE", "SSN", "CARD"), F.regexp_replace(mention, r"\D", "")).when(
+    squeezed = F.when(kind == "EMAIL", F.lower(F.regexp_replace(mention, _LEAD, ""))).when(kind == "HEX", F.lower(mention)).when(kind.isin("PHONE", "SSN", "CARD"), F.regexp_replace(mention, r"\D", "")).when(
         kind == "IBAN", F.regexp_replace(mention, " ", "")).otherwise(mention)
     whole = F.struct(kind.alias("kind"), squeezed.alias("canon"))
     return F.when(kind == "PERSON", F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))).when(kind.isNotNull(), F.array(whole)).otherwise(
@@ -222,7 +224,8 @@ def rendered(mention: Column, to: Column) -> Column:
     ])
     lettered = F.when(mention.rlike(r"\p{L}") & (mention == F.upper(mention)), F.upper(whole)).otherwise(whole)
     return F.coalesce(
-        F.when(kind == "PERSON", person).when(kind.isin("PHONE", "SSN", "CARD", "IBAN"), spaced).when(kind == "EMAIL", lettered).otherwise(whole),
+        F.when(kind == "PERSON", person).when(kind.isin("PHONE", "SSN", "CARD", "IBAN"), spaced).when(kind == "HEX", lettered)
+        .when(kind == "EMAIL", F.concat(F.regexp_extract(mention, _LEAD, 0), lettered)).otherwise(whole),
         mention)
 
 

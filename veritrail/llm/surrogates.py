@@ -67,8 +67,9 @@ FOUND = f"{_EDGE}(?:{_either('EMAIL', 'ACCESS', 'HEX', 'IBAN', 'PERSON')})|(?=[0
 
 
 def holds_entities(body: Column) -> Column:
-    """Whether a text holds any. All kinds but persons have a digit or an @; most texts have neither."""
-    return (F.contains(body, F.lit("@")) | body.rlike("[0-9]") | body.rlike(KINDS["PERSON"])) & body.rlike(FOUND)
+    """Whether a text holds any. All kinds but persons, access keys and hex secrets have a digit or an @; most texts have none of it."""
+    keys = F.contains(body, F.lit("AKIA")) | F.contains(body, F.lit("ASIA")) | body.rlike("[0-9A-Fa-f]{32}")
+    return (F.contains(body, F.lit("@")) | body.rlike("[0-9]") | keys | body.rlike(KINDS["PERSON"])) & body.rlike(FOUND)
 
 
 ATTEMPTS = 40

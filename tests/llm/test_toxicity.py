@@ -34,6 +34,18 @@ def test_induced_words_need_many_contexts():
     assert "zorg*" in found and not any(p.startswith("blib") for p in found)
 
 
+def test_every_alternative_of_the_fixed_patterns_votes():
+    patterns = t.Patterns([], set())
+    threats = [f"{v} {o}" for v in ("kill", "hurt", "hate", "destroy") for o in ("you", "them", "him", "her", "your")]
+    for threat in [*threats, "go to hell", "shut up", "drop dead", "Destroy THEM"]:
+        _, summary, votes = patterns.describe(f"they will {threat}!")
+        assert summary[-1] == 1 and votes[-3] == 1, threat
+    for mask in "*@$#":
+        assert patterns.describe(f"an idiot and an id{mask}{mask}t")[2][-2] == 1, mask
+    _, summary, votes = patterns.describe("a skilled shutter, an idiot in a C# shop")
+    assert summary[-1] == 0 and votes[-3] == -1 and votes[-2] == -1
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in t.op7_weak_supervision_toxicity(spark, sf).collect()}

@@ -35,6 +35,8 @@ LEXICONS = {
 }
 THREAT = re.compile(r"\b(?:kill|hurt|hate|destroy) (?:you|them|him|her|your)\b|\bgo to hell\b|\bshut up\b|\bdrop dead\b")
 MASKED = re.compile(r"\b\w+[*@$#]+\w+\b")
+#: One of these is in every text in which the patterns are found.
+THREAT_WORDS, MASKS = frozenset("kill hurt hate destroy hell shut drop".split()), "*@$#"
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7, 8, 9)
 MAX_PATTERNS = 1500
@@ -140,8 +142,8 @@ class Patterns:
         kinds = [bool(distinct & lex) for _, lex in sorted(self.lexicons.items())]
         induced_words = any(not self.features[i].endswith("*") for i in features)
         induced_stems = any(self.features[i].endswith("*") for i in features)
-        threat = bool(THREAT.search(text.lower())) if ("you" in distinct or "hell" in distinct or "shut" in distinct or "dead" in distinct or "hate" in distinct or "kill" in distinct) else False
-        masked = False if not ({"*", "@", "$"} & set(text)) else bool(MASKED.search(text))
+        threat = bool(THREAT_WORDS & distinct) and bool(THREAT.search(text.lower()))
+        masked = any(c in text for c in MASKS) and bool(MASKED.search(text))
         votes = np.array([
             *[1 if k else -1 for k in kinds],
             1 if induced_words else -1,

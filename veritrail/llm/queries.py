@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import ann, fingerprints, middle, packing, piecestream, quality, sharding, simhash, surrogates, toxicity, urls
+from veritrail.llm import ann, fingerprints, middle, packing, piecestream, prefixtrie, quality, sharding, simhash, surrogates, toxicity, urls
 from veritrail.session import prepare
 
 QUERIES = {
@@ -17,8 +17,9 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
     "op12_wavelet_fim": middle.op12_wavelet_fim,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
-CHECKS = {"op3_bloom_url_filter": urls.OP3_SQL, "op12_wavelet_fim": middle.OP12_SQL}
+CHECKS = {"op3_bloom_url_filter": urls.OP3_SQL, "op12_wavelet_fim": middle.OP12_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import ann, fingerprints, middle, packing, piecestream, prefixtrie, quality, sharding, simhash, surrogates, toxicity, urls
+from veritrail.llm import ann, fingerprints, maxent, middle, packing, piecestream, prefixtrie, quality, sharding, simhash, surrogates, toxicity, urls
 from veritrail.session import prepare
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_surrogate_pii": surrogates.op8_surrogate_pii,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
+    "op11_hashed_maxent": maxent.op11_hashed_maxent,
     "op12_wavelet_fim": middle.op12_wavelet_fim,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }

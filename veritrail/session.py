@@ -73,4 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/veritrail-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._veritrail_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut_lineage wrote and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_veritrail_path", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -3,12 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veritrail.llm.piecestream import SPACE, StreamingViterbi, decode_documents, encode_documents, encoder, op4_streaming_viterbi
+from veritrail.llm.piecestream import SLICE_CHARS, SPACE, StreamingViterbi, decode_documents, encode_documents, encoder, op4_streaming_viterbi
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,7 +21,7 @@ def pieces():
 
 def whole_best_path(v, marked):
     """All of the lattice at once: best sum, then the path whose last piece starts first."""
-    best, back = [0.0], [None]
+    best, back = [0], [None]
     for end in range(1, len(marked) + 1):
         options = []
         for start in range(max(0, end - v.longest), end):
@@ -68,10 +69,36 @@ def test_stream_in_any_cuts_gives_the_whole_and_keeps_a_small_window(pieces):
         for i in range(0, len(text), size):
             out += search.feed(text[i:i + size])
             widest = max(widest, len(search.best))
+        assert search.commits > len(text) // 100
         assert out + search.finish() == whole
         assert widest <= 8 * pieces.v.longest
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.text(st.sampled_from("abthend. \n▁é中🙂"), max_size=160).filter(lambda t: "▁" not in t), st.integers(1, 60), st.booleans())
+def test_slices_commit_the_best_path(text, size, remember):
+    v = encoder(PATH).v
+    marked = SPACE + text.replace(" ", SPACE)
+    search = StreamingViterbi(v, memory=encoder(PATH).memory if remember else None)
+    out = []
+    for i in range(0, len(marked), size):
+        out += search.feed(marked[i:i + size])
+    assert out + search.finish() == whole_best_path(v, marked)
+
+
+def test_ids_of_given_documents_come_from_commits(sf, pieces):
+    for d in pd.read_parquet(f"{sf}/documents.parquet")["text"]:
+        search, marked = pieces.search(d)
+        committed = []
+        for i in range(0, len(marked), SLICE_CHARS):
+            committed += search.feed(marked[i:i + SLICE_CHARS])
+        commits = search.commits
+        last = search.finish()
+        assert np.array(committed + last, "<u4").tobytes() == pieces.encode(d)
+        if len(marked) > 4 * pieces.v.longest:
+            assert commits > 0 and len(committed) > 0
+
+
 def test_paths_that_never_meet(pieces):
     text = "abc" * 4_000
     assert ids_of(pieces.encode(text)) == whole_best_path(pieces.v, SPACE + text)

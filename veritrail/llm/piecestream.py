@@ -1,20 +1,25 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
 The ids of a text are the best path through the lattice of its pieces: the pieces' scores add up, and of equal
-sums the path whose last piece starts first wins. The search reads characters one by one and keeps a window:
-a new piece can start only at one of the last `longest` boundaries, so only those can still be on the best
-path. Following their backpointers, all surviving paths soon meet at one boundary; ids before it are certain,
-are committed at once and forgotten. Memory is bounded by the window and the stretch until paths meet, not by
-the text. (In a text that repeats a few letters without a break, paths of different phase may never meet; then
-one backpointer a character is kept, and looks for a meeting get rarer, so that time stays linear.)
-
-Some boundaries are certain beforehand: where no piece of the vocabulary reaches over. Stretches between them
-recur (most are words), so a worker remembers the ids of short ones.
+sums the path whose last piece starts first wins. A piece's score is the logarithm of its probability by the
+Zipf-Mandelbrot law, log 1/(rank + ZIPF), from the rank that its model gives it; nothing is trained.
+
+One search goes through a whole text, which it is fed in slices. It keeps a window: a new piece can start only at
+one of the last `longest` boundaries, so only those can still be on the best path. Following their backpointers, all
+surviving paths soon meet at one boundary; ids before it are certain, are committed at once and forgotten. Memory is
+bounded by the window and the stretch until paths meet, not by the text. (In a text that repeats a few letters
+without a break, paths of different phase may never meet; then one backpointer a character is kept, and looks for a
+meeting get rarer, so that time stays linear.)
+
+Where no piece of the vocabulary reaches over a boundary, all paths meet there for certain. Stretches between such
+boundaries recur (most are words): when the window is closed and the next whole stretch is a remembered one, its
+ids are committed without walking through its characters again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,8 +36,16 @@ from veritrail.llm.common import slices, table
 SPACE = "▁"
 #: Stretches a worker remembers, and the longest that it does.
 REMEMBERED, REMEMBERED_CHARS = 1_000_000, 48
+#: Scores are whole millionths, so sums are exact and ties are ties.
+MILLION = 1_000_000
 #: An unknown character costs so much more than the worst piece.
-UNKNOWN_PENALTY = 10.0
+UNKNOWN_PENALTY = 10 * MILLION
+#: Added to ranks: pieces of low rank are about as frequent as each other.
+ZIPF = 300
+#: Characters of a text that are fed at once.
+SLICE_CHARS = 1 << 14
+#: Stands for a SPACE that the text itself holds: a private character that no piece has.
+LITERAL = "\ue000"
 
 
 class Vocabulary:
@@ -43,12 +56,12 @@ class Vocabulary:
         if model.normalize(" a  b ") != f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}":
             raise ValueError("the model changes texts before it cuts them; they could not be decoded exactly")
         self.pieces: dict[str, int] = {}
-        self.score: list[float] = []
+        self.score: list[int] = []
         self.byte_id = [None] * 256
         self.raw: list[bytes] = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.score.append(model.get_score(i))
+            self.score.append(-round(MILLION * math.log(ZIPF - min(model.get_score(i), 0.0))))
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.raw.append(bytes([int(piece[3:5], 16)]))
@@ -72,6 +85,7 @@ class Vocabulary:
         # no piece reaches over the start of a run of SPACE, or over either side of a character that stands in no longer piece
         chars = re.escape("".join(joined))
         self.cut = None if inner else re.compile(f"{SPACE}*[{chars}]+|{SPACE}+|[^{SPACE}{chars}]")
+        self.rest = None if inner else (re.compile(f"{SPACE}*[{chars}]*"), re.compile(f"[{chars}]*"))
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()]
@@ -80,21 +94,70 @@ class Vocabulary:
 class StreamingViterbi:
     """feed() takes characters and returns ids that are certain; finish() returns the rest.
 
-    `literal` stands for a SPACE that the text itself holds: it is no white space and becomes bytes.
+    `literal` stands for a SPACE that the text itself holds: it is no white space and becomes bytes. `memory` holds the
+    ids of stretches that were walked before; the stretch at the end of a slice is held back, or walked if it is long.
     """
 
-    def __init__(self, vocabulary: Vocabulary, literal: str = ""):
-        self.v, self.literal = vocabulary, literal
+    def __init__(self, vocabulary: Vocabulary, literal: str = LITERAL, memory: dict[str, list[int]] | None = None):
+        self.v, self.literal, self.memory = vocabulary, literal, {} if memory is None else memory
         self._start()
 
     def _start(self) -> None:
         self.base = 0  # the boundary that paths met at last; the lists begin there
-        self.best: list[float | None] = [0.0]
+        self.best: list[int] = [0]
         self.back: list[tuple[int, int | str] | None] = [None]  # (boundary before, piece id or unknown character)
         self.alive: list[tuple[int, dict]] = []  # where pieces that the text still spells began, and how far they are in the trie
         self.look = 4 * self.v.longest  # open boundaries at which paths are followed back next
+        self.held = ""  # the beginning of a stretch that may go on in the next slice
+        self.open = None  # the pattern of what goes on with a stretch that is half walked
+        self.commits = 0
 
     def feed(self, chars: str) -> list[int]:
+        if self.v.cut is None:  # a vocabulary without certain boundaries
+            return self._walk(chars)
+        out: list[int] = []
+        if self.open is not None:
+            rest = self.open.match(chars).group()
+            out += self._walk(rest)
+            if len(rest) == len(chars):
+                self._note(rest)
+                return out
+            out += self._close()
+            chars = chars[len(rest):]
+        stretches = self.v.cut.findall(self.held + chars)
+        self.held = stretches.pop() if stretches else ""
+        known = self.memory.get
+        for stretch in stretches:
+            ids = known(stretch)
+            if ids is None:
+                ids = self._stretch(stretch)
+            else:
+                self.commits += 1
+            out += ids
+        if len(self.held) > REMEMBERED_CHARS:
+            out += self._walk(self.held)
+            self._note(self.held)
+            self.held = ""
+        return out
+
+    def _note(self, walked: str) -> None:
+        """What a half walked stretch can go on with: after letters no SPACE, and after a single character nothing."""
+        if walked:
+            self.open = self.v.rest[0 if walked[-1] == SPACE else 1]
+
+    def _stretch(self, stretch: str) -> list[int]:
+        ids = self._walk(stretch) + self._close()
+        # only walked from a closed window to a closed one, so the ids are the stretch's own
+        if len(stretch) <= REMEMBERED_CHARS and len(self.memory) < REMEMBERED:  # frequent ones come early
+            self.memory[stretch] = ids
+        return ids
+
+    def _close(self) -> list[int]:
+        """At a certain boundary all paths meet."""
+        self.alive, self.open = [], None
+        return self._commit()
+
+    def _walk(self, chars: str) -> list[int]:
         v, out = self.v, []
         best, back = self.best, self.back
         for c in chars:
@@ -147,52 +210,44 @@ class StreamingViterbi:
             open_ends.add(self.back[last - self.base][0])
         meet = open_ends.pop()
         out = self._ids(meet)
+        self.commits += bool(out)
         gone = meet - self.base
-        shift = self.best[gone]  # sums start anew, so they stay exact in texts of any length
+        shift = self.best[gone]  # sums start anew, so they stay small in texts of any length
         self.best = [b - shift for b in self.best[gone:]]
         self.back = [None, *self.back[gone + 1:]]
         self.base = meet
         return out
 
     def finish(self) -> list[int]:
-        out = self._ids(self.base + len(self.best) - 1)
+        out = self._walk(self.held)
+        out += self._ids(self.base + len(self.best) - 1)
         self._start()
         return out
 
 
-class PieceEncoder(dict):
-    """stretch -> its ids as little-endian unsigned 32-bit bytes."""
+class PieceEncoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes, and back."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.v = Vocabulary(path)
-        self.search = StreamingViterbi(self.v)
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.search.feed(stretch)
-        ids += self.search.finish()
-        ids = np.array(ids, dtype="<u4").tobytes()
-        if len(stretch) <= REMEMBERED_CHARS and len(self) < REMEMBERED:  # frequent ones come early
-            self[stretch] = ids
-        return ids
+        self.memory: dict[str, list[int]] = {}
+
+    def search(self, text: str) -> tuple[StreamingViterbi, str]:
+        """A search for a text, and the text as it reads it: one SPACE before, and SPACE for each space."""
+        if SPACE not in text and LITERAL not in text:
+            return StreamingViterbi(self.v, LITERAL, self.memory), SPACE + text.replace(" ", SPACE)
+        free = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.v.trie)
+        return StreamingViterbi(self.v, free), SPACE + text.replace(SPACE, free).replace(" ", SPACE)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if SPACE in text or self.search.literal in text:
-            return self._encode_literal(text)
-        marked = SPACE + text.replace(" ", SPACE)
-        if self.v.cut is None:
-            return self[marked]
-        return b"".join(map(self.__getitem__, self.v.cut.findall(marked)))
-
-    def _encode_literal(self, text: str) -> bytes:
-        """Texts that hold SPACE themselves, which must not be read as white space."""
-        free = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.v.trie)
-        search = StreamingViterbi(self.v, free)
-        marked = SPACE + text.replace(SPACE, free).replace(" ", SPACE)
-        ids = search.feed(marked)
-        return np.array(ids + search.finish(), dtype="<u4").tobytes()
+        search, marked = self.search(text)
+        parts = []
+        for i in range(0, len(marked), SLICE_CHARS):
+            parts.append(np.array(search.feed(marked[i:i + SLICE_CHARS]), dtype="<u4").tobytes())
+        parts.append(np.array(search.finish(), dtype="<u4").tobytes())
+        return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
         """The exact text of encoded ids. Of others, bytes that are no UTF-8 are replaced."""

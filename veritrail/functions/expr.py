@@ -35,7 +35,7 @@ def freshness_policy() -> Column:
     return lookup("evidence_type", V.FRESHNESS_POLICY_OF, "DEFAULT")
 
 
-def _threshold(which: int) -> Column:
+def threshold(which: int) -> Column:
     per_type = {t: V.FRESHNESS_POLICY[p][which] * 1_000_000 for t, p in V.FRESHNESS_POLICY_OF.items()}
     return lookup("evidence_type", per_type, V.FRESHNESS_POLICY["DEFAULT"][which] * 1_000_000)
 
@@ -43,8 +43,8 @@ def _threshold(which: int) -> Column:
 def freshness_state(observed_us: Column, at_us) -> Column:
     age = at_us - observed_us
     return (
-        F.when(observed_us.isNull() | (age < 0), "UNKNOWN").when(age < _threshold(0), "CURRENT")
-        .when(age < _threshold(1), "AGING").otherwise("STALE")
+        F.when(observed_us.isNull() | (age < 0), "UNKNOWN").when(age < threshold(0), "CURRENT")
+        .when(age < threshold(1), "AGING").otherwise("STALE")
     )
 
 

@@ -86,3 +86,43 @@ def previous_value(
         rows, keys, levels, order, lambda w: F.lag("__v").over(w), lambda o: F.max_by("__v", F.struct(*o)),
         lambda before, inside: F.coalesce(inside, before))
     return done.withColumn(out, F.col("__out")["v"]).drop("__out", "__v", *levels)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], chunks: list[Column], values: list[str]) -> DataFrame:
+    """Replaces each of `values` by its sum over all rows of the key up to and with this one.
+
+    `chunks` run from fine to coarse and must not decrease in `order`; rows of a key have different places in it.
+    """
+    names = [f"__c{i}" for i in range(len(chunks))]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(chunks, names)])
+    return _sums_before(rows, keys, names, order, values, 0).drop(*names)
+
+
+def _sums_before(rows: DataFrame, keys: list[str], levels: list[str], order: list[str], values: list[str], last: int) -> DataFrame:
+    w = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inside = rows.withColumns({v: F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
+    if not levels:
+        return inside
+    cells = rows.groupBy(*keys, *levels).agg(*[F.sum(v).alias(v) for v in values])
+    before = _sums_before(cells, keys, levels[1:], [levels[0]], values, -1).withColumnsRenamed({v: f"__{v}" for v in values})
+    joined = inside.join(before, [*keys, *levels])
+    return joined.withColumns({v: F.col(v) + F.col(f"__{v}") for v in values}).drop(*[f"__{v}" for v in values])
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str, columns: list[str]) -> DataFrame:
+    """Rows of `left` with the `columns` of the latest row of `right` of their key at or before their time, or nulls.
+
+    Both sides become one sequence per key in which the last row of the right side is carried forward, second by
+    second inside hours, so any number of times of a key, on either side, is spread over tasks and no pair of
+    rows is ever made. Of rows of the right side at one time, the one with the greatest columns counts.
+    """
+    value = F.struct(*columns)
+    a = left.select(*keys, F.col(left_us).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
+    b = right.select(*keys, F.col(right_us).alias("__at"), F.lit(0).alias("__side"), value.alias("__v"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    names = ["__c0", "__c1"]
+    rows = both.select("*", *[c.alias(n) for c, n in zip(time_chunks(F.col("__at")), names)])
+    done = _by_levels(
+        rows, keys, names, ["__at", "__side", "__v"], lambda w: F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        lambda o: F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*o))), lambda before, here: F.coalesce(here, before))
+    return done.where("__side = 1").select("__row.*", *[F.col("__out")[c].alias(c) for c in columns])

@@ -42,7 +42,7 @@ def _status_pairs(points: Column) -> Column:
         return N(
             F.lit("claim_a_id"), F.least(p["a"]["id"], p["b"]["id"]), F.lit("claim_b_id"), F.greatest(p["a"]["id"], p["b"]["id"]),
             F.lit("from_value"), p["a"]["v"], F.lit("to_value"), p["b"]["v"], F.lit("delta_us"), p["b"]["t"] - p["a"]["t"],
-            F.lit("transition_type"), p["step"], F.lit("conflict_type"), kind)
+            F.lit("since_us"), p["b"]["t"], F.lit("transition_type"), p["step"], F.lit("conflict_type"), kind)
 
     return F.filter(F.transform(pairs, verdict), lambda c: c["conflict_type"].isNotNull())
 
@@ -65,10 +65,17 @@ def status_conflicts(payment_claims: DataFrame) -> DataFrame:
         status_points(only).filter(F.size("points") > 1)
         .select("payment_id", F.explode(_status_pairs(F.col("points"))).alias("c"))
         .select("payment_id", "c.*", F.lit("OPEN").alias("status"), F.lit(V.CONFLICT_RULE_VERSION).alias("rule_version"))
-        .withColumn("severity", lookup("conflict_type", SEVERITY))
+        .withColumn("severity", lookup("conflict_type", SEVERITY)).drop("since_us")
     )
 
 
+def status_conflict_times(payment_claims: DataFrame) -> DataFrame:
+    """payment_id, conflict_type, at_us: when each conflict between two statuses came to be, its later one's first time."""
+    only = payment_claims.filter((F.col("claim_type") == "PAYMENT_STATUS") & (F.col("claim_key") == "STATUS"))
+    return status_points(only).filter(F.size("points") > 1).select("payment_id", F.explode(_status_pairs(F.col("points"))).alias("c")).select(
+        "payment_id", "c.conflict_type", F.col("c.since_us").alias("at_us"))
+
+
 def conflict_sets(payment_claims: DataFrame, claim_types=_SET_TYPES) -> DataFrame:
     """One row per (payment, attribute) with more than one distinct value."""
     return (

@@ -124,8 +124,11 @@ def dimensions(scoped: DataFrame, payment_claims: DataFrame, points) -> DataFram
         "eval_us", F.explode(F.array(*[F.lit(p) for p in points])))
     counters = [c for c in [*quality.columns, *every.columns, "unresolved_count"] if c not in KEY]
     j = quality.join(every, KEY, "full_outer").withColumn("unresolved_count", F.lit(0).cast("bigint"))
-    j = j.select(*KEY, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counters])
-    return j.select(
+    return with_dimensions(j.select(*KEY, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counters]))
+
+
+def with_dimensions(counters: DataFrame) -> DataFrame:
+    return counters.select(
         "*", freshness_dimension().alias("freshness"), source_dimension().alias("source"),
         independence_dimension().alias("independence"), corroboration_dimension().alias("corroboration"),
         consistency_dimension().alias("consistency"),

@@ -521,7 +521,8 @@ def _(f):
 
 
 # --- integrity -----------------------------------------------------------------------------
-def _dims_view(points: str) -> str:
+def dims_sql(profile: str, times: str) -> str:
+    """`profile`: counters of claims c with times p(eval_us); `times`: what joins observations s to times e(eval_us)."""
     return f"""
 SELECT payment_id, eval_us, evidence_count, source_count, conflict_count, open_conflict_count, stale_count,
   CASE WHEN evidence_count = 0 THEN 'UNKNOWN' WHEN stale_count > 0 THEN 'LIMITED' WHEN fresh_count = evidence_count THEN 'STRONG' ELSE 'LIMITED' END AS freshness,
@@ -535,19 +536,20 @@ FROM (SELECT c.payment_id, p.eval_us, c.claim_count, c.multi_source_claims, c.mu
     count(*) FILTER (WHERE ok AND st = 'STALE') AS stale_count, count(*) FILTER (WHERE ok AND st IN ('CURRENT', 'AGING')) AS fresh_count,
     count(*) FILTER (WHERE ok AND au = 'TERTIARY') AS tertiary, count(*) FILTER (WHERE ok AND au = 'PRIMARY') AS primary_n, count(*) FILTER (WHERE ok AND di = 'DIRECT') AS direct_n,
     count(evidence_id) AS total, count(DISTINCT source_type) AS ds, count(DISTINCT payment_event_id) AS de
-  FROM v_profile c CROSS JOIN (VALUES {points}) p(eval_us)
+  FROM {profile}
   LEFT JOIN (SELECT s.*, e.eval_us AS ev, subject_type = 'payment' AND (valid_until_us IS NULL OR valid_until_us > e.eval_us) AS ok,
-      {fresh('e.eval_us')} AS st, {AUTH} AS au, {DIRECT} AS di FROM v_scope s JOIN (VALUES {points}) e(eval_us) ON observed_us <= e.eval_us) o
+      {fresh('e.eval_us')} AS st, {AUTH} AS au, {DIRECT} AS di FROM v_scope s JOIN {times} AND observed_us <= e.eval_us) o
     ON o.payment_id = c.payment_id AND o.ev = p.eval_us
   GROUP BY ALL)"""
 
 
-view("v_dims", _dims_view(POINTS))
-view("v_integrity", """
+view("v_dims", dims_sql(f"v_profile c CROSS JOIN (VALUES {POINTS}) p(eval_us)", f"(VALUES {POINTS}) e(eval_us) ON true"))
+GATED = """
 SELECT *, CASE WHEN evidence_count = 0 THEN 'INSUFFICIENT_DATA' WHEN open_conflict_count > 0 THEN 'UNRESOLVED' WHEN freshness = 'UNKNOWN' OR source = 'WEAK' THEN 'WEAK'
   WHEN freshness = 'STRONG' AND source = 'STRONG' AND independence = 'HIGH_SOURCE_DIVERSITY' AND corroboration = 'STRONGLY_CORROBORATED' AND consistency = 'NO_DETECTED_CONFLICT' AND evidence_count >= 2 THEN 'VERY_STRONG'
   WHEN freshness IN ('STRONG', 'LIMITED') AND source IN ('STRONG', 'LIMITED') AND consistency IN ('NO_DETECTED_CONFLICT', 'ORDERING_AMBIGUITY_ONLY') THEN 'STRONG' ELSE 'LIMITED' END AS overall_status
-FROM v_dims""")
+FROM """
+view("v_integrity", GATED + "v_dims")
 
 _NOW = f"WHERE eval_us = {T_EVAL}"
 for _dim, _extra in (

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.operators import canonical, conflicts, coverage, defense, facts, graph, integrity, ops, quality, reliability, risk, structure
+from veritrail.operators import canonical, conflicts, coverage, defense, facts, graph, integrity, ops, quality, reliability, risk, structure, sweep
 from veritrail.session import cut_lineage
 from veritrail.sources import defense_tables, driver_tables
 
@@ -237,7 +237,23 @@ class Frames:
 
     @cached_property
     def integrity_at(self) -> DataFrame:
-        return integrity.integrity(integrity.dimensions(self.scoped, self.claims_at, self.points))
+        known = self.scoped.select("payment_id").distinct()
+        points = known.select("payment_id", F.explode(F.array(*[F.lit(p) for p in self.points])).alias("eval_us"))
+        return integrity.integrity(sweep.dimensions_at(self.scoped, self.observations, points))
+
+    @cached_property
+    def own_times(self) -> DataFrame:
+        """Each payment's own evaluation times: whenever something was observed."""
+        return self.scoped.select("payment_id", F.col("observed_us").alias("eval_us")).distinct()
+
+    @cached_property
+    def integrity_own(self) -> DataFrame:
+        return integrity.integrity(sweep.dimensions_at(self.scoped, self.observations, self.own_times))
+
+    @cached_property
+    def processed(self) -> DataFrame:
+        """When each event of a payment was processed, after it was observed."""
+        return self.normalized.select("payment_id", "event_id", F.unix_micros("processed_at").alias("processed_us"))
 
     @cached_property
     def traces(self) -> DataFrame:

@@ -6,10 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
+from veritrail.functions import expr as E
+from veritrail.functions import skew
 from veritrail.functions import vocab as V
 from veritrail.operators import evolution, facts, trace
+from veritrail.plans.evidence import GATED, dims_sql, fresh
 from veritrail.plans.frames import EVAL_POINTS, T1, T2, T_EVAL, at
-from veritrail.plans.oracle_base import case
+from veritrail.plans.oracle_base import TRANSITION, case
 from veritrail.plans.registry import VIEWS, query, view
 
 T_ASOF = at("2024-01-25T00:00:00")
@@ -117,6 +120,74 @@ def _(f):
     return snaps.groupBy("evidence_id").agg(F.max("eval_us").alias("eval_us"), F.max_by("freshness_state", "eval_us").alias("freshness_state"))
 
 
+# --- each payment at its own times ------------------------------------------------------------------
+# the definition: claims, conflicts and quality recomputed from what was visible at each time of each payment
+view("v_own_times", "SELECT DISTINCT payment_id, observed_us AS eval_us FROM v_scope")
+view("v_own_claims", """
+SELECT e.payment_id, e.eval_us, claim_id, claim_type, claim_key, canonical_value, count(*) AS observation_count, count(DISTINCT source_type) AS n_sources, min(observed_us) AS earliest_us,
+  CASE canonical_value WHEN 'paid' THEN 'captured' ELSE canonical_value END AS st
+FROM v_own_times e JOIN v_claim_rows r ON r.subject_type = 'payment' AND r.subject_id = e.payment_id AND r.observed_us <= e.eval_us GROUP BY ALL""")
+view("v_own_conflicts", f"""
+SELECT payment_id, eval_us, count(*) AS conflict_count, count(*) FILTER (WHERE open) AS open_conflict_count FROM (
+  SELECT payment_id, eval_us, transition_type = 'CONTRADICTORY_TERMINAL' OR NOT near AS open FROM (
+    SELECT a.payment_id, a.eval_us, b.earliest_us - a.earliest_us <= {V.CLOCK_TOLERANCE_US} AS near, {TRANSITION} AS transition_type
+    FROM v_own_claims a JOIN v_own_claims b ON a.payment_id = b.payment_id AND a.eval_us = b.eval_us AND (a.earliest_us, a.claim_id) < (b.earliest_us, b.claim_id)
+    WHERE a.claim_type = 'PAYMENT_STATUS' AND a.claim_key = 'STATUS' AND b.claim_type = 'PAYMENT_STATUS' AND b.claim_key = 'STATUS')
+  WHERE near OR transition_type NOT IN ('SAME_STATE', 'VALID_FORWARD')
+  UNION ALL SELECT a.payment_id, a.eval_us, true FROM v_own_claims a JOIN v_own_claims b
+    ON a.payment_id = b.payment_id AND a.eval_us = b.eval_us AND a.claim_type = b.claim_type AND a.claim_id < b.claim_id
+  WHERE a.claim_type IN ('PAYMENT_AMOUNT', 'PAYMENT_CURRENCY', 'ORDER_ASSOCIATION')) GROUP BY ALL""")
+view("v_own_profile", """
+SELECT t.payment_id, t.eval_us, coalesce(claim_count, 0) AS claim_count, coalesce(multi_observation_claims, 0) AS multi_observation_claims, coalesce(multi_source_claims, 0) AS multi_source_claims,
+  coalesce(conflict_count, 0) AS conflict_count, coalesce(open_conflict_count, 0) AS open_conflict_count
+FROM v_own_times t LEFT JOIN (SELECT payment_id, eval_us, count(*) AS claim_count, count(*) FILTER (WHERE observation_count >= 2) AS multi_observation_claims,
+    count(*) FILTER (WHERE n_sources >= 2) AS multi_source_claims FROM v_own_claims GROUP BY ALL) p ON p.payment_id = t.payment_id AND p.eval_us = t.eval_us
+LEFT JOIN v_own_conflicts c ON c.payment_id = t.payment_id AND c.eval_us = t.eval_us""")
+view("v_own_dims", dims_sql(
+    "v_own_profile c JOIN v_own_times p ON p.payment_id = c.payment_id AND p.eval_us = c.eval_us", "v_own_times e ON e.payment_id = s.payment_id"))
+view("v_own", GATED + "v_own_dims")
+_OWN = ["payment_id", "eval_us", "overall_status", "evidence_count", "source_count", "claim_count", "conflict_count", "open_conflict_count",
+        "freshness", "source", "independence", "corroboration", "consistency", "stale_count", "distinct_sources", "distinct_events"]
+
+
+@query("history_integrity_own", f"SELECT {', '.join(_OWN)} FROM v_own")
+def _(f):
+    """Integrity after every observation of a payment."""
+    return f.integrity_own.select(*_OWN)
+
+
+_PROCESSED = "SELECT payment_id, event_id, processed_us FROM v_norm"
+
+
+def _as_processed(f, right, columns):
+    return skew.as_of_join(f.processed, right, ["payment_id"], "processed_us", "eval_us", columns)
+
+
+@query("asof_integrity_processed", f"""
+SELECT p.payment_id, p.event_id, s.eval_us, s.overall_status, s.evidence_count FROM ({_PROCESSED}) p ASOF LEFT JOIN v_own s ON s.payment_id = p.payment_id AND s.eval_us <= p.processed_us""")
+def _(f):
+    """What was known about the integrity of a payment when each of its events was processed."""
+    return _as_processed(f, f.integrity_own, ["eval_us", "overall_status", "evidence_count"]).drop("processed_us")
+
+
+@query("asof_structure_processed", f"""
+SELECT p.payment_id, p.event_id, s.eval_us, s.distinct_sources, s.distinct_events FROM ({_PROCESSED}) p ASOF LEFT JOIN v_own s ON s.payment_id = p.payment_id AND s.eval_us <= p.processed_us""")
+def _(f):
+    return _as_processed(f, f.integrity_own, ["eval_us", "distinct_sources", "distinct_events"]).drop("processed_us")
+
+
+@query("asof_quality_processed", f"""
+SELECT p.payment_id, p.event_id, s.evidence_id, s.observed_us, {fresh('p.processed_us')} AS freshness_state
+FROM ({_PROCESSED}) p ASOF LEFT JOIN (SELECT payment_id, evidence_id, observed_us, evidence_type FROM v_pobs WHERE evidence_type = 'PAYMENT_STATUS'
+  QUALIFY row_number() OVER (PARTITION BY payment_id, observed_us ORDER BY evidence_id DESC) = 1) s ON s.payment_id = p.payment_id AND s.observed_us <= p.processed_us""")
+def _(f):
+    """The latest status observation when each event was processed, and how fresh it was then."""
+    status = f.payment_obs.where("evidence_type = 'PAYMENT_STATUS'").withColumn("at_us", F.col("observed_us"))
+    found = skew.as_of_join(f.processed, status, ["payment_id"], "processed_us", "at_us", ["observed_us", "evidence_id", "evidence_type"])
+    return found.select("payment_id", "event_id", "evidence_id", "observed_us", F.when(
+        F.col("evidence_id").isNull(), "STALE").otherwise(E.freshness_state(F.col("observed_us"), F.col("processed_us"))).alias("freshness_state"))
+
+
 # --- evolution -----------------------------------------------------------------------------------
 _TRACKED = (*evolution.TRACKED, "methodology_version")
 view("v_steps", f"""

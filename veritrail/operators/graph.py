@@ -98,6 +98,45 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return state.select("payment_id", "node", "best.depth", "best.path")
 
 
+PAIR = ["payment_id", "source", "target"]
+
+
+def path_between(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """Shortest path between two given nodes of a payment: depth, path and exhausted for each of `pairs`.
+
+    `pairs`: payment_id, source, target. The search goes out from both ends in turn, one hop at a time and only from
+    the nodes that were new in the last one, and a pair is done where its two sides meet; so each side is half as
+    deep as the path. Of equally short paths the alphabetically first is given. Where there is none of at most
+    `depth` hops, depth and path are null, and `exhausted` tells whether that is final: one side has run out of new
+    nodes. Nothing is cut off but by `depth`.
+    """
+    steps = cut_lineage(undirected(edges).distinct())
+    pairs = cut_lineage(pairs.select(*PAIR).distinct())
+    sides = [
+        pairs.select(*PAIR, F.col(end).alias("node"), text.alias("text")) for end, text in (("source", F.col("source")), ("target", F.lit("")))]
+    seen, front = list(sides), list(sides)
+    found, open_pairs = None, pairs
+    for hop in range(depth + 1):
+        i = (hop + 1) % 2  # hop 0 only looks for pairs of a node and itself
+        if hop:
+            onward = F.concat_ws(" > ", "text", "dst") if i == 0 else F.concat(F.lit(" > "), F.col("node"), F.col("text"))
+            new = front[i].join(open_pairs, PAIR, "left_semi").withColumnRenamed("node", "src").join(steps, ["payment_id", "src"]).withColumnRenamed("src", "node").select(
+                *PAIR, F.col("dst").alias("to"), onward.alias("text")).withColumnRenamed("to", "node")
+            new = new.groupBy(*PAIR, "node").agg(F.min("text").alias("text")).join(seen[i].select(*PAIR, "node"), [*PAIR, "node"], "left_anti")
+            front[i] = cut_lineage(new)
+            seen[i] = seen[i].unionByName(front[i])
+        other = seen[1 - i].select(*PAIR, "node", F.col("text").alias("rest"))
+        whole = F.concat("text", "rest") if i == 0 else F.concat("rest", "text")
+        met = cut_lineage(front[i].join(other, [*PAIR, "node"]).groupBy(*PAIR).agg(F.min(whole).alias("path")).withColumn("depth", F.lit(hop).cast("bigint")))
+        found = met if found is None else found.unionByName(met)
+        open_pairs = cut_lineage(open_pairs.join(met, PAIR, "left_anti"))
+        if open_pairs.isEmpty() or hop and front[i].isEmpty():
+            break
+    alive = reduce(lambda a, b: a.join(b, PAIR, "left_semi"), [f.select(*PAIR).distinct() for f in front])
+    return pairs.join(found, PAIR, "left").join(alive.withColumn("alive", F.lit(True)), PAIR, "left").select(
+        *PAIR, "depth", "path", (F.col("depth").isNull() & F.col("alive").isNull()).alias("exhausted"))
+
+
 def edges_for_payment(relationships: DataFrame, observations: DataFrame) -> DataFrame:
     """Relationships with either end in the payment's evidence; two equi-joins instead of an OR."""
     own = observations.filter("subject_type = 'payment'").select(F.col("subject_id").alias("payment_id"), "evidence_id")

@@ -95,6 +95,23 @@ def _(f):
     return graph.paths(f.investigation_edges, _roots(f), 3).filter("node = 'src:PROVIDER_API'").select("payment_id", "depth", "path")
 
 
+view("v_asked", "SELECT payment_id, 'ord:' || order_id AS source, 'src:PROVIDER_API' AS target FROM v_payments WHERE order_id IS NOT NULL")
+view("v_asked_paths", paths_sql("v_gedges", "SELECT payment_id, source AS node FROM v_asked", graph.MAX_DEPTH))
+view("v_asked_out", reach_sql("(SELECT payment_id, src, dst FROM v_gedges UNION SELECT payment_id, dst, src FROM v_gedges)", "SELECT payment_id, source AS root, source AS node FROM v_asked", 3, "payment_id"))
+view("v_asked_back", reach_sql("(SELECT payment_id, src, dst FROM v_gedges UNION SELECT payment_id, dst, src FROM v_gedges)", "SELECT payment_id, target AS root, target AS node FROM v_asked", 2, "payment_id"))
+
+
+@query("path_between", """
+SELECT a.payment_id, a.source, a.target, p.depth :: BIGINT AS depth, p.path,
+  p.path IS NULL AND (a.payment_id NOT IN (SELECT payment_id FROM v_asked_out WHERE depth = 3) OR a.payment_id NOT IN (SELECT payment_id FROM v_asked_back WHERE depth = 2)) AS exhausted
+FROM v_asked a LEFT JOIN v_asked_paths p ON p.payment_id = a.payment_id AND p.node = a.target""")
+def _(f):
+    """From the order of each payment to the provider API as a source; where it is none, the search says so."""
+    asked = f.payments.where("order_id IS NOT NULL").select(
+        "payment_id", graph.node("ord", "order_id").alias("source"), F.lit("src:PROVIDER_API").alias("target"))
+    return graph.path_between(f.investigation_edges, asked)
+
+
 @query("evidence_provenance", """
 SELECT evidence_id, 1 AS step, 'EVIDENCE' AS kind, evidence_type AS reference FROM v_pobs UNION ALL SELECT evidence_id, 2, 'PAYMENT_EVENT', event_type FROM v_pobs
 UNION ALL SELECT evidence_id, 3, 'WEBHOOK', 'evt_' || webhook_event_id FROM v_pobs UNION ALL SELECT evidence_id, 4, 'PAYMENT', payment_id FROM v_pobs""")

@@ -54,6 +54,26 @@ def test_payment_state_over_batches(spark, sf, tmp_path, files, reverse):
         assert got == as_set(Frames(spark, sf).payments.select("payment_id", "status", "captured", F.unix_micros("last_observed_at"), "event_count"))
 
 
+def test_state_goes_on_after_a_restart(spark, sf, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "stream")
+    parts = spark.read.parquet(f"{sf}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(5)))
+    taken, written = [], []
+    for i in range(5):  # each time with a session and a stream of its own, over one more file
+        session = spark.newSession()
+        parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(src)
+        got = pipeline.stateful_payments(pipeline.event_stream(session, src), folder, compact_after=3)
+        taken.append(got.agg(F.sum("event_count")).first()[0])
+        written.append(session.read.parquet(f"{folder}/state/changes-{i}").count())
+    rows = canonical.normalize_events(driver_tables.events(spark, sf)).filter("payment_id <> ''").select(
+        "payment_id", driver_tables.lookup("status", V.STATUS_RANK, 0).alias("rank"), "status", F.unix_micros(F.coalesce("observed_at", "received_at")).alias("t"),
+        F.unix_micros("received_at").alias("received_us"), "event_id", F.pmod(F.xxhash64("event_id"), F.lit(5)).alias("part"))
+    assert as_set(got.select("payment_id", "status", "captured", "last_us", "event_count")) == one_by_one(
+        [tuple(r)[:4] for r in rows.orderBy("part", "received_us", "event_id").collect()])
+    per_part = [r["n"] for r in rows.groupBy("part").agg(F.count_distinct("payment_id").alias("n")).orderBy("part").collect()]
+    assert written == per_part and taken == sorted(taken) and taken[-1] == rows.count()
+    assert as_set(pipeline.stateful_payments(pipeline.event_stream(spark.newSession(), src), folder)) == as_set(got)
+
+
 def test_one_busy_payment(spark):
     """Forty events of one payment, given in reverse order of arrival: the later capture wins."""
     ev = driver_tables.shape_events(spark.sql("""

@@ -86,3 +86,13 @@ def forget(*tables: DataFrame) -> None:
             spark = table.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if files.exists(done(f.getPath(), "_SUCCESS")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import vocab as V
 from veritrail.functions.skew import prefix_before, time_chunks
 from veritrail.operators import canonical
-from veritrail.session import shared_folder
+from veritrail.session import folders, shared_folder
 from veritrail.sources import driver_tables, landing
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -84,26 +85,48 @@ def fold_onto(before: DataFrame, events: DataFrame) -> DataFrame:
         F.greatest("last_us", "until_us").alias("last_us"), (F.coalesce("event_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("event_count"))
 
 
-def stateful_payments(stream: DataFrame) -> DataFrame:
+#: Batches whose changes are kept apart before the state is written as a whole again.
+COMPACT_AFTER = 16
+
+
+def state_of(spark: SparkSession, folder: str, until: int | None = None) -> DataFrame:
+    """State rows (STATE) as written in `folder` by the batches before `until`: the last whole and the changes since."""
+    ids = {kind: [int(n[len(kind):]) for n in folders(spark, f"{folder}/state") if n.startswith(kind)] for kind in ("whole-", "changes-")}
+    known = {kind: [i for i in found if until is None or i < until] for kind, found in ids.items()}
+    base = max(known["whole-"], default=-1)
+    parts = [f"{folder}/state/whole-{base}"] if base >= 0 else []
+    tables = [(base, p) for p in parts] + [(i, f"{folder}/state/changes-{i}") for i in known["changes-"] if i > base]
+    if not tables:
+        return spark.createDataFrame([], STATE)
+    rows = [spark.read.schema(STATE).parquet(p).withColumn("batch", F.lit(i)) for i, p in tables]
+    names = [c for c in rows[0].columns if c not in ("payment_id", "batch")]
+    both = reduce(DataFrame.unionByName, rows)
+    return both.groupBy("payment_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("payment_id", "r.*")
+
+
+def stateful_payments(stream: DataFrame, folder: str | None = None, compact_after: int = COMPACT_AFTER) -> DataFrame:
     """Payment status carried across the batches of an event stream, run over everything available.
 
-    The state is a table in the shared folder with a version for each batch: a batch that is run again reads
-    the version before it and overwrites its own, so nothing is applied twice. A payment's state never expires:
-    a late event must still meet it. All work is done by joins and partial aggregates, none in Python workers.
+    `folder` holds the stream's checkpoint and its state, both in the shared file system; started again with the
+    same folder, in this session or another, the stream goes on where it ended. Without one a new folder is taken.
+    Each batch writes the rows of the payments it touches, and now and then the whole state is written, so what a
+    batch costs follows the batch. One that is run again reads what lay before it and overwrites its own, so
+    nothing is applied twice. A payment's state never expires: a late event must still meet it. All work is done by
+    joins and partial aggregates, none in Python workers.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    versions: list[int] = []
+    base = (folder or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}").rstrip("/")
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        known = [v for v in versions if v < batch_id]
-        before = spark.read.schema(STATE).parquet(f"{base}/state/{max(known)}") if known else spark.createDataFrame([], STATE)
-        fold_onto(before, batch).write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
-        versions.append(batch_id)
+        touched = canonical.normalize_events(batch).select("payment_id").distinct()
+        before = state_of(spark, base, batch_id).join(touched, "payment_id", "left_semi")
+        fold_onto(before, batch).write.mode("overwrite").parquet(f"{base}/state/changes-{batch_id}")
+        wholes = [int(n[6:]) for n in folders(spark, f"{base}/state") if n.startswith("whole-") and int(n[6:]) < batch_id]
+        if batch_id - max(wholes, default=-1) >= compact_after:
+            state_of(spark, base, batch_id + 1).write.mode("overwrite").parquet(f"{base}/state/whole-{batch_id}")
 
     stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(advance).start().awaitTermination()
-    state = spark.read.schema(STATE).parquet(f"{base}/state/{max(versions)}") if versions else spark.createDataFrame([], STATE)
-    return state.drop("rank")
+    return state_of(spark, base).drop("rank")
 
 
 def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:

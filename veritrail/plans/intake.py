@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from veritrail.functions.expr import hmac_sha256, us
-from veritrail.operators import canonical, search
+from veritrail.operators import canonical, search, textindex
 from veritrail.plans.frames import T1, T2, T_EVAL
 from veritrail.plans.registry import query, view
 from veritrail.sources import landing
@@ -285,6 +285,15 @@ def _(f):
     return search.top_hits([search.hits(f.table("documents"), "document", 0.7, "doc_id", "lang", "doc_id", "license", ["text", "source"])], 25)
 
 
+@query("indexed_search", """
+SELECT DISTINCT item_id AS term_id, doc_id FROM documents JOIN (SELECT item_id, lower(substr(text, 1, 1 + item_id % 24)) AS term FROM benchmark) ON contains(lower(text), term)""")
+def _(f):
+    """Documents that contain the beginning of a benchmark item, for all items at once."""
+    docs = f.table("documents")
+    terms = f.table("benchmark").select(F.col("item_id").alias("term_id"), F.expr("substring(text, 1, cast(1 + item_id % 24 as int))").alias("term"))
+    return textindex.search(textindex.build_index(docs, "doc_id", "text"), terms, docs, "doc_id", "text")
+
+
 view("v_entities", """
 SELECT 1 :: BIGINT AS entity_rank, 'payment' AS entity_type, payment_id AS entity_id FROM v_payments
 UNION ALL SELECT 2, 'order', order_id FROM v_orders

@@ -54,3 +54,30 @@ def test_filter_passes_all_listed_keys_and_few_others(spark):
     assert urls.possible_hits(keys, blocks, bits).count() == 5_000
     others = spark.range(50_000).selectExpr("concat('o', id, '.com/') as key")
     assert urls.possible_hits(others, blocks, bits).count() < 500
+
+
+def test_long_lists_are_probed_before_anything_is_multiplied(spark):
+    paths = spark.range(100_000).selectExpr("concat('h', id % 997, '.com/', substring(repeat('p', 400), 1, cast(id % 400 as int)), id) as rule", "if(id % 3 = 0, 'allow', 'block') as verdict")
+    rules = [tuple(r) for r in paths.collect()]
+    pages = [(i, f"http://a.b.h{i % 1200}.com/" + "p" * (i % 400) + str(i * 7 % 120_000)) for i in range(3000)]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), paths).collect()}
+    by_host = {}
+    for rule, verdict in rules:
+        by_host.setdefault(rule.split("/", 1)[0], []).append((rule, verdict))
+    for i, url in pages:
+        near = by_host.get(url.split("/")[2].split(".", 2)[2], [])
+        assert (got[i]["rule"], got[i]["verdict"]) == brute(url, near)[2:], url
+    assert sum(r["rule"] is not None for r in got.values()) > 50
+    # the share of absent keys that the filter of such a list lets through
+    blocks, bits = urls.bloom_filter(paths.selectExpr("rule as key"), len(rules))
+    absent = spark.range(200_000).selectExpr("concat('x', id, '.org/') as key")
+    assert urls.possible_hits(absent, blocks, bits).count() < 2_000
+
+
+def test_canonical_hosts(spark):
+    pages = [(0, "http://u:p@X.net:80/"), (1, "https://x.net.:443"), (2, "http://x.net:8080/"), (3, "http://x.net./en/")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    listed = spark.createDataFrame([("net/", "block"), ("x.net/en/", "allow")], "rule string, verdict string")
+    for canonical, want in ((False, ["allow"] * 4), (True, ["block", "block", "allow", "allow"])):
+        got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, listed, canonical=canonical).collect()}
+        assert [got[i] for i in range(4)] == want

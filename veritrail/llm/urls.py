@@ -2,9 +2,10 @@
 
 The list holds canonical URLs `host/path` with a verdict each. An entry fits a page whose host is the entry's
 or a subdomain of it and whose path starts with the entry's path; of several the longest wins. A page is
-therefore looked up under every pair of host suffix and path prefix that an entry could have. Nearly all those
-lookups find nothing: they are answered by the filter, 512 bits in a block and one bit in each of its eight
-words, and only the rest goes on to the join with the list, which removes the false positives.
+therefore looked up under each suffix of its host, and for listed hosts under those prefixes of its path that are
+as long as one of the host's entries. Nearly all lookups find nothing: they are answered by two filters, 512 bits in
+a block and one bit in each of its eight words, before anything is multiplied, and only the rest goes on to the joins
+with the list, which remove the false positives.
 """
 
 from __future__ import annotations
@@ -82,34 +83,48 @@ def possible_hits(candidates: DataFrame, blocks: DataFrame, bits: int) -> DataFr
     return keyed.join(F.broadcast(blocks), "block").where(inside).select(*candidates.columns)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
+def lookup_host(host: Column) -> Column:
+    """A host without user, default port and final dots, for look-ups."""
+    plain = F.regexp_replace(host, "^.*@", "")
+    return F.regexp_replace(F.regexp_replace(plain, r":(?:80|443)?$", ""), r"\.+$", "")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", key: str = "page_id", url: str = "url", canonical: bool = False) -> DataFrame:
     """One row per page: key, host, path, rule (null where no entry fits), verdict.
 
     `listed` has rule and verdict. A page that no entry fits gets `default`. A null url, or one without `://`,
     has an empty host and path and is fitted by nothing. Repeated rows stay. Of entries that fit, the longest
-    text wins, then the longer host. An empty list or page table is fine. Other columns of `pages` are left out.
+    text wins, then the longer host. With `canonical`, user, default port and final dots of a page's host don't
+    count, and an empty path is `/`; the columns stay as they are. An empty list or page table is fine. Other columns
+    of `pages` are left out.
     """
     pages = pages.select(F.col(key).alias(key), F.col(url).alias("_url"))
     entries = canonical_list(listed)
-    # what the entries' lengths can be: as many numbers as a host has labels and a path has characters
-    sizes = entries.agg(F.count(F.lit(1)).alias("n"), F.collect_set("host_labels").alias("labels"), F.collect_set("path_length").alias("paths")).first()
+    exact = lambda df: F.broadcast(df) if sizes["n"] <= BROADCAST_ENTRIES else df.hint("shuffle_hash")
+    # as many numbers as a host has labels
+    sizes = entries.agg(F.count(F.lit(1)).alias("n"), F.collect_set("host_labels").alias("labels")).first()
+    hosts = entries.groupBy(F.substring_index("key", "/", 1).alias("host")).agg(F.collect_set("path_length").alias("paths"))
+    host_blocks, host_bits = bloom_filter(hosts.select(F.col("host").alias("key")), sizes["n"])
     blocks, bits = bloom_filter(entries, sizes["n"])
 
     urls = pages.where("_url IS NOT NULL").select("_url").distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    if canonical:
+        urls = urls.select("_url", lookup_host(F.col("host")).alias("host"), F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"))
     labels = F.split("host", r"\.")
-    int_array = lambda xs: F.array(*[F.lit(int(x)) for x in sorted(xs)]).cast("array<int>")
+    counts = F.array(*[F.lit(int(x)) for x in sorted(sizes["labels"])]).cast("array<int>")
     suffixes = F.transform(
-        F.filter(int_array(sizes["labels"]), lambda n: n <= F.size(labels)),
+        F.filter(counts, lambda n: n <= F.size(labels)),
         lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."),
     )
-    prefixes = F.transform(F.filter(int_array(sizes["paths"]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    looked_up = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    candidates = urls.where("host <> ''").select("_url", F.explode(looked_up).alias("key"))
+    suffixed = urls.where("host <> ''").select("_url", "path", F.explode(suffixes).alias("key"))
+    on_host = possible_hits(suffixed, host_blocks, host_bits).join(exact(hosts), F.col("key") == hosts["host"]).select("_url", "path", "host", "paths")
+    lengths = F.filter("paths", lambda n: n <= F.length("path"))
+    candidates = on_host.select("_url", "path", "host", F.explode(lengths).alias("n")).select(
+        "_url", F.concat("host", F.substring(F.col("path"), F.lit(1), F.col("n"))).alias("key"))
 
     hits = possible_hits(candidates, blocks, bits)
-    exact = F.broadcast(entries) if sizes["n"] <= BROADCAST_ENTRIES else entries.hint("shuffle_hash")
     best = (
-        hits.join(exact, "key").groupBy("_url")
+        hits.join(exact(entries), "key").groupBy("_url")
         .agg(F.max(F.struct(F.length("rule"), F.length("rule") - F.col("path_length"), "rule", "verdict")).alias("best"))
     )
     return pages.join(best, "_url", "left").select(

@@ -108,7 +108,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
         return F.lit("taken@x.org") if attempt == 0 else real(kind, canon, key, attempt)
 
     monkeypatch.setattr(s, "candidate", same_at_first)
-    df = spark.createDataFrame([("EMAIL", f"{c}@x.org") for c in ("a", "b", "taken")], "kind string, canon string")
+    df = spark.createDataFrame([("EMAIL x.org", f"{c}@x.org") for c in ("a", "b", "taken")], "kind string, canon string")
     got = {r["canon"]: r["to"] for r in s.assign(df, "k").collect()}
     assert len(set(got.values())) == 3 and not set(got) & set(got.values()) and max(calls) >= 1
 
@@ -131,3 +131,20 @@ def test_odd_rows(odd_docs, no_docs):
     changed = [(a["doc_id"], a["text"], b["text"]) for a, b in zip(before, after, strict=True) if a["text"] != b["text"]]
     assert [c[0] for c in changed] == [10]
     assert s.replace_entities(no_docs, "k", count="hits").count() == 0
+
+
+def test_cards_are_those_of_networks(replaced):
+    cards = ["4111111111111111", "5555555555554444", "2223003122003222", "378282246310005", "30569309025904", "6011111111111117", "3530111333300000", "6200000000000005", "6759649826438453"]
+    others = ["9111111111111116", "7992739871300000009"[:16], "0000000000000000", "1234567812345670", "411111111111116"]
+    texts = [f"card {c} end" for c in cards + others]
+    out = replaced(*texts)
+    for card, old, new in zip(cards, texts, out, strict=False):
+        to = new.split()[1]
+        assert new != old and len(to) == len(card) and to[0] == card[0] and re.match(s.NETWORKS, to) and luhn(to), card
+    assert out[len(cards):] == texts[len(cards):]
+
+
+def test_people_of_one_domain_keep_one_domain(replaced):
+    out = replaced("ann@firm.com and Bob@FIRM.com", "carl@other.com", "dora@firm.com")
+    domains = [[x.split("@")[1].lower() for x in t.split() if "@" in x] for t in out]
+    assert domains[0][0] == domains[0][1] == domains[2][0] != domains[1][0] and len({x for t in out for x in t.split() if "@" in x}) == 4

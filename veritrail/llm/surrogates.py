@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.functions.expr import hmac_sha256
 from veritrail.llm.common import table
 from veritrail.session import cut_lineage
 
@@ -72,6 +73,11 @@ def holds_entities(body: Column) -> Column:
     return (F.contains(body, F.lit("@")) | body.rlike("[0-9]") | keys | body.rlike(KINDS["PERSON"])) & body.rlike(FOUND)
 
 
+#: First digits and lengths of card networks (Visa, Mastercard, American Express, Diners, Discover, JCB, UnionPay, Maestro).
+NETWORKS = (
+    r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}"
+    r"|(?:6011|64[4-9]\d|65\d\d)\d{12}|35(?:2[89]|[3-8]\d)\d{12}|62\d{14,17}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{8,15})$"
+)
 ATTEMPTS = 40
 
 
@@ -110,10 +116,10 @@ def _mod97(x: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    """The kind of a found string; null for a number that looks like a card's and fails its check."""
+    """The kind of a found string; null for a number that looks like a card's but is of no network's form or fails its check."""
     kinds = reduce(lambda c, k: c.when(mention.rlike(f"^(?:{KINDS[k]})$"), k) if c is not None else F.when(mention.rlike(f"^(?:{KINDS[k]})$"), k), KINDS, None)
     number = F.regexp_replace(mention, "[ -]", "")
-    return F.when((kinds == "CARD") & (luhn(number) % 10 != 0), None).otherwise(kinds)
+    return F.when((kinds == "CARD") & (~number.rlike(NETWORKS) | (luhn(number) % 10 != 0)), None).otherwise(kinds)
 
 
 def _script(name: Column) -> Column:
@@ -129,7 +135,7 @@ def _gender(title: Column, given: Column) -> Column:
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The entities in a mention: array of (kind, canonical form). A person is a given and a family name."""
+    """The entities in a mention: array of (kind, canonical form). A person is a given and a family name, an address itself and its domain."""
     words = F.split(mention, " +")
     title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
     last = F.element_at(words, -1)
@@ -138,21 +144,30 @@ def parts_of(mention: Column, kind: Column) -> Column:
     squeezed = F.when(kind == "EMAIL", F.lower(F.regexp_replace(mention, _LEAD, ""))).when(kind == "HEX", F.lower(mention)).when(kind.isin("PHONE", "SSN", "CARD"), F.regexp_replace(mention, r"\D", "")).when(
         kind == "IBAN", F.regexp_replace(mention, " ", "")).otherwise(mention)
     whole = F.struct(kind.alias("kind"), squeezed.alias("canon"))
-    return F.when(kind == "PERSON", F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))).when(kind.isNotNull(), F.array(whole)).otherwise(
+    at = F.substring_index(squeezed, "@", -1)
+    # distinct within their domain, and domains among themselves, so whole addresses are
+    address = F.array(F.struct(F.concat(F.lit("EMAIL "), at).alias("kind"), squeezed.alias("canon")), F.struct(F.lit("DOMAIN").alias("kind"), at.alias("canon")))
+    return F.when(kind == "PERSON", F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))).when(kind == "EMAIL", address).when(kind.isNotNull(), F.array(whole)).otherwise(
         F.array().cast("array<struct<kind:string,canon:string>>"))
 
 
-def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
-    """The replacement drawn for an entity at an attempt."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt))), 256)
-    h = F.concat(h, F.sha2(F.concat(h, F.lit("+")), 256))
+def draw(kind: Column, canon: Column, key: str, attempt: int) -> Column:
+    """128 hex digits of a keyed hash."""
+    h = hmac_sha256(key, F.concat_ws("|", kind, canon, F.lit(str(attempt))))
+    return F.concat(h, F.sha2(F.concat(F.lit(key), h), 256))
+
+
+def candidate(kind: Column, canon: Column, h: Column, attempt: int) -> Column:
+    """The replacement that hex digits `h` stand for. Of an address it is the part before the @."""
     digits, n = _digits_of(h), F.length(canon)
     some = lambda s, start, length: F.substring(s, F.lit(start), length)
 
     code = F.when((n == 11) & canon.startswith("1"), 1).when(n > 10, 2).otherwise(0)
     phone = F.concat(F.substring(canon, F.lit(1), code), F.translate(some(digits, 1, F.lit(1)), "01", "23"), some(digits, 2, n - code - 1))
     phone = F.when(canon.rlike(r"^1\d{3}555\d{4}$"), F.concat(F.substring(phone, 1, 4), F.lit("555"), F.substring(phone, 8, 4))).otherwise(phone)
-    body = F.concat(F.substring(canon, 1, 1), some(digits, 1, n - 2))
+    # as many digits as tell the network
+    kept = F.when(canon.startswith("4"), 1).when(canon.rlike(r"^(?:5[1-5]|3[4-9]|6[25])") & ~canon.startswith("35"), 2).otherwise(4)
+    body = F.concat(F.substring(canon, F.lit(1), kept), some(digits, 1, n - 1 - kept))
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     octet = lambda i: (_int(F.substring(h, 8 * i + 1, 8)) % 256).cast("string")
     first = _int(F.substring(h, 1, 8)) % 222 + 1
@@ -169,16 +184,17 @@ def candidate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
     local = F.substring_index(canon, "@", 1)
-    email = F.concat(
-        F.when(local.rlike(r"\p{IsCyrillic}"), like(local, letters["Cyrillic"])).otherwise(like(local, letters["Latin"])),
-        F.lit("@"), F.substring(letters["Latin"], 90, 6), F.lit(".example.org"))
+    email = F.when(local.rlike(r"\p{IsCyrillic}"), like(local, letters["Cyrillic"])).otherwise(like(local, letters["Latin"]))
+    # later attempts take longer names, so there are always enough
+    email = F.concat(email, F.substring(letters["Latin"], 64, attempt // 6))
+    domain = F.concat(F.substring(letters["Latin"], 90, min(30, 6 + attempt)), F.lit(".example.org"))
     account = like(F.substring(canon, F.lit(5), n - 4), letters["Latin"])
     country = F.substring(canon, 1, 2)
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     access = F.concat(F.substring(canon, 1, 4), F.substring(F.translate(h, "0123456789abcdef", "ABCDEFGHJKLMNPQR"), 1, 16))
 
     made = (
-        F.when(kind == "EMAIL", email).when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "IBAN", iban)
+        F.when(kind.startswith("EMAIL "), email).when(kind == "DOMAIN", domain).when(kind == "PHONE", phone).when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "IBAN", iban)
         .when(kind == "ACCESS", access).when(kind == "HEX", F.substring(h, F.lit(1), n))
         .when(kind == "SSN", F.concat(F.lit("9"), some(digits, 2, F.lit(8))))
     )
@@ -199,7 +215,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     while not pending.isEmpty():
         if attempt == ATTEMPTS:
             raise RuntimeError("there are more entities of a kind than replacements")
-        drawn = pending.withColumn("to", candidate(F.col("kind"), F.col("canon"), key, attempt)).join(originals, ["kind", "to"], "left_anti")
+        drawn = pending.withColumn("h", draw(F.col("kind"), F.col("canon"), key, attempt)).withColumn(
+            "to", candidate(F.col("kind"), F.col("canon"), F.col("h"), attempt)).drop("h").join(originals, ["kind", "to"], "left_anti")
         for earlier in accepted:
             drawn = drawn.join(earlier, ["kind", "to"], "left_anti")
         won = cut_lineage(drawn.groupBy("kind", "to").agg(F.min("canon").alias("canon")).select("kind", "canon", "to"))
@@ -209,11 +226,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.unionAll, accepted) if accepted else entities.withColumn("to", F.col("canon"))
 
 
-def rendered(mention: Column, to: Column) -> Column:
-    """A mention with its entities replaced; `to` maps "kind canon" to replacements."""
-    kind = kind_of(mention)
-    new = F.transform(parts_of(mention, kind), lambda p: to[F.concat_ws(" ", p["kind"], p["canon"])])
+def rendered(mention: Column, kind: Column, new: Column) -> Column:
+    """A mention of a kind with its entities replaced by those of the array `new`."""
     whole = F.get(new, F.lit(0))
+    address = F.concat_ws("@", whole, F.get(new, F.lit(1)))
     place = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9A-Za-z]", ""))
     spaced = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(whole, place(i + 1), F.lit(1))).otherwise(c)), "")
     words = F.regexp_extract_all(mention, F.lit(r"(\S+ *)"), 1)
@@ -223,10 +239,10 @@ def rendered(mention: Column, to: Column) -> Column:
         F.concat(cased(F.get(words, F.lit(i)), F.get(new, F.lit(i - 1))), gap(F.get(words, F.lit(i)))) if i == 1 else F.when(F.size(words) > i, F.concat(cased(F.get(words, F.lit(i)), F.get(new, F.lit(i - 1))), gap(F.get(words, F.lit(i))))).otherwise("")
         for i in (1, 2)
     ])
-    lettered = F.when(mention.rlike(r"\p{L}") & (mention == F.upper(mention)), F.upper(whole)).otherwise(whole)
+    lettered = lambda x: F.when(mention.rlike(r"\p{L}") & (mention == F.upper(mention)), F.upper(x)).otherwise(x)
     return F.coalesce(
-        F.when(kind == "PERSON", person).when(kind.isin("PHONE", "SSN", "CARD", "IBAN"), spaced).when(kind == "HEX", lettered)
-        .when(kind == "EMAIL", F.concat(F.regexp_extract(mention, _LEAD, 0), lettered)).otherwise(whole),
+        F.when(kind == "PERSON", person).when(kind.isin("PHONE", "SSN", "CARD", "IBAN"), spaced).when(kind == "HEX", lettered(whole))
+        .when(kind == "EMAIL", F.concat(F.regexp_extract(mention, _LEAD, 0), lettered(address))).otherwise(whole),
         mention)
 
 
@@ -239,11 +255,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col("row")[text]
     some = packed.where(holds_entities(body)).withColumn("found", F.regexp_extract_all(body, F.lit(FOUND), 0))
-    some = cut_lineage(some.withColumn("at", F.sha2(body, 256)))
+    # the kind of a mention takes many tests, so it is found once and kept
+    typed = F.transform("found", lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
+    some = cut_lineage(some.withColumn("found", typed).withColumn("at", F.sha2(body, 256)))
 
     units = (
-        some.select("at", F.explode(F.array_distinct("found")).alias("mention"))
-        .select("at", F.explode(parts_of(F.col("mention"), kind_of(F.col("mention")))).alias("p")).select("at", "p.kind", "p.canon").distinct()
+        some.select("at", F.explode(F.array_distinct("found")).alias("m")).select("at", "m.mention", "m.kind")
+        .select("at", F.explode(parts_of(F.col("mention"), F.col("kind"))).alias("p")).select("at", "p.kind", "p.canon").distinct()
     )
     units = cut_lineage(units)
     chosen = assign(units.select("kind", "canon").distinct(), key)
@@ -252,11 +270,14 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
 
     gaps = F.split(body, FOUND, -1)
     none = F.create_map().cast("map<string,string>")
-    new = F.transform(F.col("found"), lambda m: rendered(m, F.coalesce(F.col("to"), none)))
+    to = F.coalesce(F.col("to"), none)
+    given = lambda m: F.transform(parts_of(m["mention"], m["kind"]), lambda p: to[F.concat_ws(" ", p["kind"], p["canon"])])
+    drawn = F.transform("found", lambda m: F.struct(m["mention"].alias("mention"), m["kind"].alias("kind"), given(m).alias("new")))
+    new = F.transform(drawn, lambda m: rendered(m["mention"], m["kind"], m["new"]))
     changed = F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
     done = some.join(maps, "at", "left").select(
         F.col("row").withField(text, changed).alias("row"),
-        F.size(F.filter("found", lambda m: kind_of(m).isNotNull())).cast("long").alias("n"))
+        F.size(F.filter("found", lambda m: m["kind"].isNotNull())).cast("long").alias("n"))
     clean = packed.where(~F.coalesce(holds_entities(body), F.lit(False))).withColumn("n", F.lit(0).cast("long"))
     out = clean.unionAll(done)
     names = [F.col("row")[c].alias(c) for c in docs.columns]

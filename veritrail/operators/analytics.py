@@ -154,14 +154,17 @@ def high_value_recent(payments: DataFrame, now_us: int, k: int = 3) -> DataFrame
         F.desc("amount_minor"), "payment_id").limit(k)
 
 
-def notifications(payments: DataFrame, conflicts: DataFrame, now_us: int) -> DataFrame:
-    """`conflicts`: payment_id, conflict_type, severity, detected_us."""
+def notifications(payments: DataFrame, conflicts: DataFrame, now_us: int, failures: int = 5, anomalies: int = 5, most: int = 50) -> DataFrame:
+    """The latest `most` of: latest failures and strong conflicts (so many of each), milestones, high-value payments.
+
+    `conflicts`: payment_id, conflict_type, severity, detected_us.
+    """
     def item(df, kind, ref, category, severity, ts):
         ident = F.substring(F.sha2(F.concat_ws("|", F.lit(kind), ref, F.lit(str(now_us))), 256), 1, 16)
         return df.select(ident.alias("notification_id"), F.lit(category).alias("category"), severity.alias("severity"), ts.alias("ts_us"))
     failed = payments.filter((F.col("status") == "failed") & (us("last_observed_at") >= now_us - HOUR_US)).orderBy(
-        F.desc("last_observed_at"), "payment_id").limit(5)
-    hot = conflicts.filter(F.col("severity").isin("HIGH", "CRITICAL")).orderBy(F.desc("detected_us"), "payment_id", "conflict_type").limit(5)
+        F.desc("last_observed_at"), "payment_id").limit(failures)
+    hot = conflicts.filter(F.col("severity").isin("HIGH", "CRITICAL")).orderBy(F.desc("detected_us"), "payment_id", "conflict_type").limit(anomalies)
     milestone = payments.agg(F.count("*").alias("n")).filter("n > 0 AND n % 10 = 0")
     return (
         item(failed, "FAIL", F.col("payment_id"), "FAILURE", F.lit("WARNING"), us("last_observed_at"))
@@ -169,5 +172,5 @@ def notifications(payments: DataFrame, conflicts: DataFrame, now_us: int) -> Dat
                           F.when(F.col("severity") == "CRITICAL", "CRITICAL").otherwise("WARNING"), F.col("detected_us")))
         .unionByName(item(milestone, "MILESTONE", F.col("n").cast("string"), "MILESTONE", F.lit("INFO"), F.lit(now_us)))
         .unionByName(item(high_value_recent(payments, now_us), "HIGHVAL", F.col("payment_id"), "ANOMALY", F.lit("INFO"), us("last_observed_at")))
-        .orderBy(F.desc("ts_us"), "notification_id").limit(50)
+        .orderBy(F.desc("ts_us"), "notification_id").limit(most)
     )

@@ -172,8 +172,10 @@ def slots_of(normalized: DataFrame) -> DataFrame:
 def extract_evidence(normalized: DataFrame) -> DataFrame:
     """Explode each event into its observations.
 
-    Ids are event_id * 16 + slot, so they need no global numbering.
+    Ids are event_id * 16 + slot, so they need no global numbering. Order evidence has the event's `provenance`, if
+    the events come with one.
     """
+    known = "provenance" if "provenance" in normalized.columns else "CAST(NULL AS STRING)"
     names = ", ".join(f"'{t}'" for t, _ in SLOTS)
     kinds = ", ".join(f"'{v}'" for _, v in SLOTS)
     order = f"slot >= {FIRST_ORDER_SLOT}"
@@ -188,7 +190,7 @@ def extract_evidence(normalized: DataFrame) -> DataFrame:
         "coalesce(observed_at, received_at) AS observed_at",
         "unix_micros(coalesce(observed_at, received_at)) AS observed_us",
         "unix_micros(expires_at) AS valid_until_us",
-        f"""IF({order} AND k % 2 = 0, concat('{{"payment_id":"', payment_id, '"}}'), NULL) AS provenance""",
+        f"IF({order}, {known}, NULL) AS provenance",
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import expr as E
 from veritrail.functions import vocab as V
-from veritrail.functions.skew import running_sums, time_chunks
+from veritrail.functions.skew import running_sums
 from veritrail.operators.conflicts import _SET_TYPES, status_conflict_times
 from veritrail.operators.integrity import KEY, with_dimensions
 from veritrail.operators.structure import claim_rows
@@ -25,6 +25,8 @@ _STATES = ("current", "aging", "stale")
 _AUTHORITIES = ("primary", "secondary", "tertiary")
 _SOURCES = (*V.PROVIDER_SOURCES, "INTERNAL_SYSTEM")
 _ENTER, _AGE, _STALE, _LEAVE = range(4)
+#: Moments of a payment are summed inside minutes, then its minutes.
+_MINUTE_US = 60_000_000
 _CONFLICTS = {"STATE_CONFLICT": "state_conflicts", "TEMPORAL_CONFLICT": "temporal_conflicts", "ORDERING_AMBIGUITY": "ordering_ambiguities"}
 
 
@@ -73,7 +75,7 @@ def other_sources(scoped: DataFrame) -> DataFrame:
     rows = observation_moments(scoped.where(~F.col("source_type").isin(*_SOURCES)))
     whole = F.when(F.col("u") & (F.col("kind") == _ENTER), 1).when(F.col("kind") == _LEAVE, -1).otherwise(0).cast("bigint")
     per = rows.groupBy(*AT, "source_type").agg(F.sum(whole).alias("held"), F.sum(whole).alias("change"))
-    held = running_sums(per, ["payment_id", "source_type"], ["at_us"], time_chunks(F.col("at_us")), ["held"])
+    held = running_sums(per, ["payment_id", "source_type"], ["at_us"], [F.floor(F.col("at_us") / _MINUTE_US)], ["held"])
     before = F.col("held") - F.col("change")
     return _changes(held, {"other_sources": F.when((before == 0) & (F.col("held") > 0), 1).when((before > 0) & (F.col("held") == 0), -1)})
 
@@ -118,7 +120,7 @@ def counters_at(scoped: DataFrame, observations: DataFrame, points: DataFrame) -
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = [c for c in both.columns if c not in (*AT, "asked")]
     moments = both.groupBy(*AT).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in names], F.max("asked").alias("asked"))
-    sums = running_sums(moments, ["payment_id"], ["at_us"], time_chunks(F.col("at_us")), names)
+    sums = running_sums(moments, ["payment_id"], ["at_us"], [F.floor(F.col("at_us") / _MINUTE_US)], names)
     return sums.where("asked = 1 AND total_count > 0").drop("asked").withColumnRenamed("at_us", "eval_us")
 
 

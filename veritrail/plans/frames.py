@@ -237,9 +237,8 @@ class Frames:
 
     @cached_property
     def integrity_at(self) -> DataFrame:
-        known = self.scoped.select("payment_id").distinct()
-        points = known.select("payment_id", F.explode(F.array(*[F.lit(p) for p in self.points])).alias("eval_us"))
-        return integrity.integrity(sweep.dimensions_at(self.scoped, self.observations, points))
+        """A few times common to all payments: a copy of each row per time is cheaper than sums along time."""
+        return integrity.integrity(integrity.dimensions(self.scoped, self.claims_at, self.points))
 
     @cached_property
     def own_times(self) -> DataFrame:

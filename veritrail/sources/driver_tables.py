@@ -57,11 +57,14 @@ def shape_events(raw: DataFrame) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in FAILURE_KEYS]), (k % 10 + 1).cast("int")),
         F.lit(" (code "), k.cast("string"), F.lit(")"),
     )
+    payment = F.concat(F.lit("pay_"), user, F.lit("_"), F.date_format("observed_at", "yyyyMMdd"))
     return raw.select(
         "event_id", "k",
+        # every second event says which payment its order evidence is about
+        F.when(k % 2 == 0, F.concat(F.lit('{"payment_id":"'), payment, F.lit('"}'))).alias("provenance"),
         F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("provider_event_id"),
         lookup("raw_type", EVENT_TYPE_MAP).alias("event_type"),
-        F.concat(F.lit("pay_"), user, F.lit("_"), F.date_format("observed_at", "yyyyMMdd")).alias("payment_id"),
+        payment.alias("payment_id"),
         F.when(k % 11 != 0, F.concat(F.lit("order_"), user, F.lit("_"), (k % 3).cast("string"))).alias("order_id"),
         F.concat(F.lit("cust_"), user).alias("customer_id"),
         F.when(k % 13 != 0, F.round(F.col("value") * 100).cast("bigint")).alias("amount_minor"),

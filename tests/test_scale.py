@@ -12,3 +12,66 @@ def plan_of(df):
 @pytest.mark.parametrize("name", ("claim_support", "edges_for_payment", "fact_lineage", "observation_decisions"))
 def test_nothing_that_grows_is_broadcast(spark, sf, name):
     assert "BroadcastHashJoin" not in plan_of(catalog.queries()[name](spark, sf))
+
+
+def test_edge_types_connect_what_is_said(spark, sf):
+    """Searches only look at edges by these types, so none may connect anything else."""
+    from pyspark.sql import functions as F
+
+    from veritrail.operators import graph
+
+    kind = lambda c: F.substring_index(c, ":", 1)
+    for name, kinds in (("investigation_edges", graph.INVESTIGATION), ("lineage_edges", graph.LINEAGE)):
+        edges = catalog.queries()[name](spark, sf)
+        found = {tuple(r) for r in edges.select("edge_type", kind("src"), kind("dst")).distinct().collect()}
+        assert found <= {(k, *way) for k in kinds for way in graph.KINDS[k]}
+
+
+def test_a_search_moves_only_edges_it_can_use(spark, sf):
+    from veritrail.operators import graph
+
+    ways = graph.ways_of(graph.INVESTIGATION)
+    assert graph.hops_to(ways, "src") == {"src": 0, "ev": 1, "evt": 2, "hook": 2, "claim": 2, "pay": 3, "conf": 3, "ord": 4, "cust": 4, "snap": 4}
+    assert ("STATE_TRANSITION", "chg", "state", True) in graph.ways_of(graph.LINEAGE)  # both ways along it, and against it
+    rows = [("p", "pay:p", "evt:1", "HAS_EVENT"), ("p", "evt:1", "ev:1", "PRODUCED_EVIDENCE"), ("p", "ev:1", "src:A", "FROM_SOURCE"),
+            ("p", "pay:p", "ord:1", "HAS_ORDER"), ("p", "evt:1", "hook:1", "DERIVED_FROM_WEBHOOK"), ("p", "ev:1", "hook:1", "DERIVED_FROM_WEBHOOK")]
+    edges = spark.createDataFrame(rows * 2, "payment_id string, src string, dst string, edge_type string")
+    roots = spark.createDataFrame([("p", "pay:p", "pay:p")], "payment_id string, root string, node string")
+    assert graph.steps_along(edges, [("HAS_EVENT", "evt", "pay", True)], ["payment_id"]).distinct().collect() == [("p", "evt:1", "pay:p")]
+    typed = lambda df: sorted(map(tuple, df.collect()))
+    assert typed(graph.reach(edges, roots, 4, ["payment_id"], "pay", graph.INVESTIGATION)) == typed(graph.reach(edges, roots, 4, ["payment_id"]))
+    ends = "node = 'src:A'"
+    found = typed(graph.paths(edges, roots, 3, ends, "pay", "src", graph.INVESTIGATION))
+    assert found == typed(graph.paths(edges, roots, 3).where(ends)) == [("p", "src:A", 3, "pay:p > evt:1 > ev:1 > src:A")]
+    pairs = spark.createDataFrame([("p", "ord:1", "src:A"), ("p", "ord:1", "src:B")], "payment_id string, source string, target string")
+    assert typed(graph.path_between(edges, pairs, 5, ("ord", "src"), graph.INVESTIGATION)) == typed(graph.path_between(edges, pairs, 5))
+
+
+def test_dependencies_of_a_delivery(spark):
+    """Against a plain search, over chains, cycles and repeated edges; more hops reach more."""
+    from veritrail.operators import graph
+
+    pairs = [(16, 17), (17, 18), (18, 19), (19, 16), (16, 17), (-15, -14), (-14, -13), (33, 33)]
+    rel = spark.createDataFrame([(a, b, "DEPENDS_ON") for a, b in pairs], "source_id long, target_id long, relationship_type string")
+    for depth in (0, 1, 5):
+        want = {}
+        for a in {a for a, _ in pairs}:
+            seen = {a}
+            for _ in range(1 + depth):
+                seen |= {y for x, y in pairs if x in seen}
+            if seen - {a}:
+                near = [y for x, y in pairs if x == a]
+                want[a] = (len(near), len(set(near)), len(seen - {a}) - len(set(near)))
+        assert {r[0]: tuple(r)[1:] for r in graph.dependencies(rel, depth).collect()} == want
+
+
+@pytest.mark.parametrize("name", ("decision_replay", "decision_diff", "change_explanation"))
+def test_states_write_only_what_they_look_at(spark, sf, name, monkeypatch):
+    from veritrail.plans import frames, history
+
+    written = []
+    monkeypatch.setattr(frames, "cut_lineage", lambda df: written.append(set(df.columns)) or df)
+    monkeypatch.setattr(history, "cut_lineage", lambda df: written.append(set(df.columns)) or df)
+    catalog.queries()[name](spark, sf)
+    wide = {"evidence_id", "claim_id", "fact_hash", "distinct_source_count", "n_webhooks", "source_reference"}
+    assert len(written) == 3 and not any(wide & columns for columns in written)

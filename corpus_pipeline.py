@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import alike, packing, quality, surrogates, toxicity
+from veritrail.llm import packing, quality, simhash, surrogates, toxicity
 from veritrail.llm.common import table
 from veritrail.session import cut_lineage, prepare
 
@@ -24,9 +24,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingle sets have a similarity of 0.8 or more, directly or over others, the first."""
+    """Of documents whose SimHash fingerprints differ in four bits or fewer, directly or over others, the first."""
     prepare(spark)
-    return alike.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,7 @@ def test_states_write_only_what_they_look_at(spark, sf, name, monkeypatch):
     catalog.queries()[name](spark, sf)
     wide = {"evidence_id", "claim_id", "fact_hash", "distinct_source_count", "n_webhooks", "source_reference"}
     assert len(written) == 3 and not any(wide & columns for columns in written)
+
+
+def test_rounds_are_not_multiplied_into_one_another(spark, sf):
+    assert plan_of(catalog.queries()["evidence_dependencies"](spark, sf)).count("shiftright(") < 6

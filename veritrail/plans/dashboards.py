@@ -181,8 +181,8 @@ SELECT p.payment_id, evidence_count, source_count, conflict_count, coverage_stat
   JOIN v_structure s ON s.payment_id = p.payment_id) p)""")
 
 
-#: Computed once for all the inputs of a risk score.
-_RISK_LAYERS = ("observations", "payments", "payment_claims", "conflict_profile")
+#: Computed once for all the inputs of a risk score: a row a payment. Observations and claims are many times the input, so they are not written.
+_RISK_LAYERS = ("payments", "conflict_profile")
 
 
 @query("risk_score", """

@@ -40,6 +40,38 @@ def test_sweep_equals_recomputation_at_every_time(spark):
     assert key(got) == key(want) and len(key(got)) > 25
 
 
+def test_own_times_in_place_and_spread_are_the_same(spark, monkeypatch):
+    rows = random_observations(9, 170, ["p1", "p1", "p2", "p3", "p4"])
+    rows = [(*r[:6], None, *r[7:10], None, *r[11:]) if i % 11 == 0 else r for i, r in enumerate(rows)] + rows[:5]  # no source, no event, repeated
+    df = observations(spark, [*rows, obs(900, "PAYMENT_STATUS", "failed", None, "MAIL", 3, "p5")])
+    scoped = structure.structure_scope(df)
+    key = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    in_place, spread = key(sweep.dimensions_own(scoped, False)), key(sweep.dimensions_own(scoped, True))
+    times = [r[0] for r in scoped.select("observed_us").distinct().collect()]
+    seen = df.withColumn("eval_us", F.explode(F.array(*[F.lit(t) for t in times]))).where("observed_us <= eval_us")
+    want = integrity.dimensions(scoped, structure.payment_claims(structure.build_claims(structure.claim_rows(seen))), times)
+    want = want.join(scoped.selectExpr("payment_id", "observed_us AS eval_us").distinct(), ["payment_id", "eval_us"])
+    names = sorted(sweep.dimensions_own(scoped, False).columns)
+    assert in_place == spread == sorted(map(tuple, want.select(names).collect()), key=str) and len(in_place) > 25
+    monkeypatch.setattr(sweep, "MANY", 40)  # p1 is spread, the others are not
+    assert key(sweep.by_size(scoped, lambda part, spread: sweep.dimensions_own(part(scoped), spread))) == in_place
+
+
+def test_observations_of_own_times_are_moved_once(spark):
+    scoped = structure.structure_scope(observations(spark, random_observations(1, 20, ["p1", "p2"])))
+    plan = sweep.counters_in_place(scoped)._jdf.queryExecution().executedPlan().toString()
+    # the observations, and first times of statuses by value and by payment
+    assert plan.count("Exchange hashpartitioning") == 3, plan
+
+
+def test_as_of_join_of_small_keys(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 9, 4), ("a", None, 5)], "k string, t long, i long")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("b", 10, "z"), (None, 1, "n")], "k string, s long, v string")
+    for spread in (False, True):
+        got = as_of_join(left, right, ["k"], "t", "s", ["v"], spread).collect()
+        assert sorted(map(tuple, got)) == [("a", 1, 2, None), ("a", 5, 1, "y"), ("b", 9, 3, None)], spread
+
+
 def test_running_sums_over_chunks(spark):
     rng = random.Random(2)
     rows = sorted({("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", US + rng.randrange(10**11)) for _ in range(600)})

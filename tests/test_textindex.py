@@ -17,6 +17,14 @@ def test_same_rows_as_a_scan(spark, tmp_path):
     assert got == {(i, j) for i, t in enumerate(terms) if t for j, x in texts.items() if x and t.lower() in x.lower()}
 
 
+def test_postings_are_lists_of_a_bounded_number_of_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "LISTED", 100)
+    df = spark.range(0, 1000, 1, 2).selectExpr("id", "'abcd' as body")
+    index = textindex.build_index(df, "id", "body", str(tmp_path / "index"))
+    assert [len(r["keys"]) for r in index.postings.collect()] == [100] * 20  # two pieces, ten hundreds of texts
+    assert sorted(tuple(r) for r in index.sizes.select("piece", "texts").collect()) == [("abc", 1000), ("bcd", 1000)]
+
+
 def test_reads_only_partitions_of_the_terms(spark, tmp_path):
     df = spark.range(3000).selectExpr("id", "concat('text number ', id, ' of many') as body")
     index = textindex.build_index(df, "id", "body", str(tmp_path / "index"))

@@ -1,9 +1,10 @@
 """Substring search by an index of three-character pieces.
 
 A text that contains a term contains all pieces of the term. So of each term the few pieces that the fewest texts
-have are looked up, and only texts that have them all are read and tested. Postings lie in a table partitioned by a
-hash of the piece and sorted by piece, so a search reads the partitions and row groups of its own pieces. Case doesn't
-count. Terms of one or two characters are looked up under every piece that holds them.
+have are looked up, and only texts that have them all are read and tested. Postings are lists of keys, each of a
+bounded number of texts, in a table partitioned by a hash of the piece and sorted by piece, so a search reads the
+partitions and row groups of its own pieces. Case doesn't count. Terms of one or two characters are looked up under
+every piece that holds them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ PIECE = 3
 BUCKETS = 64
 #: Pieces of a term that are looked up; further ones hardly make fewer candidates.
 LOOKED_UP = 4
+#: Texts that a list of keys may cover.
+LISTED = 2048
 #: Rows of pieces that may be sent to every task.
 SMALL = 100_000
 
@@ -37,7 +40,7 @@ def _bucket(piece: Column) -> Column:
 
 @dataclass
 class Index:
-    postings: DataFrame  # bucket, piece, key
+    postings: DataFrame  # bucket, piece, keys: one list for every so many texts
     sizes: DataFrame  # bucket, piece, texts
 
 
@@ -45,13 +48,15 @@ def build_index(df: DataFrame, key: str, text: str, folder: str | None = None) -
     """Writes the index of a table whose `key` names its rows. Null and empty texts are in no posting."""
     spark = df.sparkSession
     base = folder or f"{shared_folder(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
-    rows = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.explode(pieces(F.col(text))).alias("piece"))
-    rows = rows.select("key", "piece", _bucket(F.col("piece")).alias("bucket"))
-    # a common piece has postings of nearly all texts, so it is dealt by the text as well
-    spread = F.pmod(F.xxhash64("key"), F.lit(8))
-    rows.repartition("bucket", spread).sortWithinPartitions("bucket", "piece").write.partitionBy("bucket").parquet(f"{base}/postings")
+    texts = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text"), F.floor(F.monotonically_increasing_id() / LISTED).alias("chunk"))
+    # neighbouring texts share their lists, so what is moved is a list for each piece and chunk
+    lists = texts.select("key", "chunk", F.explode(pieces(F.col("text"))).alias("piece")).groupBy("chunk", "piece").agg(F.collect_list("key").alias("keys"))
+    lists = lists.select("chunk", "piece", "keys", _bucket(F.col("piece")).alias("bucket"))
+    # a common piece has postings of nearly all texts, so it is dealt by the chunk as well
+    spread = F.pmod(F.xxhash64("chunk"), F.lit(8))
+    lists.repartition("bucket", spread).sortWithinPartitions("bucket", "piece").drop("chunk").write.partitionBy("bucket").parquet(f"{base}/postings")
     postings = spark.read.parquet(f"{base}/postings")
-    postings.groupBy("bucket", "piece").agg(F.count(F.lit(1)).alias("texts")).write.parquet(f"{base}/sizes")
+    postings.groupBy("bucket", "piece").agg(F.sum(F.size("keys")).alias("texts")).write.parquet(f"{base}/sizes")
     return Index(postings, spark.read.parquet(f"{base}/sizes"))
 
 
@@ -68,17 +73,18 @@ def candidates(index: Index, terms: DataFrame) -> DataFrame:
     # a term has few pieces, so its pieces are gathered by the term
     rare = sized.groupBy("term_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("texts", "piece", "bucket"))), 1, LOOKED_UP).alias("p"))
     rare = rare.where(F.col("p")[0]["texts"] > 0).select("term_id", F.size("p").alias("n"), F.explode("p").alias("p")).select("term_id", "n", "p.piece", "p.bucket")
-    by_all = index.postings.join(_small(rare), ["bucket", "piece"]).groupBy("term_id", "key").agg(
+    by_all = index.postings.join(_small(rare), ["bucket", "piece"]).select("term_id", "n", F.explode("keys").alias("key")).groupBy("term_id", "key").agg(
         F.count(F.lit(1)).alias("hits"), F.min("n").alias("n")).where("hits = n").select("term_id", "key")
     inner = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE - 1)), lambda w: F.transform(
         F.sequence(F.lit(1), F.lit(PIECE)), lambda i: F.substring(F.col("piece"), i, w)))))
     holding = index.sizes.select("bucket", "piece", F.explode(inner).alias("term")).join(_small(asked.where(F.length("term") < PIECE)), "term")
-    by_any = index.postings.join(_small(holding.select("term_id", "bucket", "piece").distinct()), ["bucket", "piece"]).select("term_id", "key").distinct()
+    by_any = index.postings.join(_small(holding.select("term_id", "bucket", "piece").distinct()), ["bucket", "piece"]).select(
+        "term_id", F.explode("keys").alias("key")).distinct()
     return by_all.unionByName(by_any)
 
 
 def search(index: Index, terms: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """term_id and key of every row whose text contains the term, in any case. Empty and null terms find nothing."""
     found = candidates(index, terms).join(terms.select("term_id", F.lower("term").alias("term")), "term_id")
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return found.join(texts, "key").where(F.contains(F.lower("text"), F.col("term"))).select("term_id", F.col("key").alias(key)).distinct()
+    texts = df.select(F.col(key).alias("key"), F.lower(text).alias("text"))  # once a text, however many terms it may contain
+    return found.join(texts, "key").where(F.contains("text", F.col("term"))).select("term_id", F.col("key").alias(key)).distinct()

@@ -18,11 +18,11 @@ def test_same_rows_as_a_scan(spark, tmp_path):
 
 
 def test_postings_are_lists_of_a_bounded_number_of_texts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(textindex, "LISTED", 100)
-    df = spark.range(0, 1000, 1, 2).selectExpr("id", "'abcd' as body")
+    monkeypatch.setattr(textindex, "LISTED", 128)
+    df = spark.range(0, 1024, 1, 2).selectExpr("id", "'abcd' as body")
     index = textindex.build_index(df, "id", "body", str(tmp_path / "index"))
-    assert [len(r["keys"]) for r in index.postings.collect()] == [100] * 20  # two pieces, ten hundreds of texts
-    assert sorted(tuple(r) for r in index.sizes.select("piece", "texts").collect()) == [("abc", 1000), ("bcd", 1000)]
+    assert [len(r["keys"]) for r in index.postings.collect()] == [128] * 16  # two pieces, eight lists each
+    assert sorted(tuple(r) for r in index.sizes.select("piece", "texts").collect()) == [("abc", 1024), ("bcd", 1024)]
 
 
 def test_reads_only_partitions_of_the_terms(spark, tmp_path):

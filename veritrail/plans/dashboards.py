@@ -194,7 +194,7 @@ SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status
 FROM (SELECT *, concat_ws('; ', CASE WHEN conflict_count > 0 THEN 'resolve conflicts' END, CASE WHEN source_count < 2 THEN 'add sources' END, CASE WHEN freshness < 50 THEN 'refresh evidence' END,
   CASE WHEN coverage_status IN ('INSUFFICIENT', 'PARTIAL') THEN 'complete coverage' END, CASE WHEN composite < 50 THEN 'manual review' END) AS r FROM v_risk)""")
 def _(f):
-    return f.keeping(*_RISK_LAYERS).risk_scores.drop("weakest", "strongest")
+    return f.by_payment(lambda own: own.risk_scores).drop("weakest", "strongest")
 
 
 @query("weakest_strongest", """

@@ -202,7 +202,7 @@ SELECT payment_id, arg_min(d, (s, i)) AS weakest, arg_max(d, (s, -i)) AS stronge
   SELECT payment_id, unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS s,
     unnest(['evidence_volume', 'source_diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'conflict_resolution']) AS d, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM v_risk) GROUP BY 1""")
 def _(f):
-    return f.keeping(*_RISK_LAYERS).risk_scores.select("payment_id", "weakest", "strongest")
+    return f.by_payment(lambda own: own.risk_scores).select("payment_id", "weakest", "strongest")
 
 
 @query("risk_dimensions", """

@@ -181,10 +181,6 @@ SELECT p.payment_id, evidence_count, source_count, conflict_count, coverage_stat
   JOIN v_structure s ON s.payment_id = p.payment_id) p)""")
 
 
-#: Computed once for all the inputs of a risk score: a row a payment. Observations and claims are many times the input, so they are not written.
-_RISK_LAYERS = ("payments", "conflict_profile")
-
-
 @query("risk_score", """
 SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status, evidence_volume :: DOUBLE AS evidence_volume, source_diversity :: DOUBLE AS source_diversity, consistency :: DOUBLE AS consistency,
   coverage :: DOUBLE AS coverage, freshness :: DOUBLE AS freshness, corroboration :: DOUBLE AS corroboration, conflict_resolution :: DOUBLE AS conflict_resolution, composite :: DOUBLE AS composite,
@@ -211,7 +207,7 @@ SELECT payment_id, dimension, score, CASE WHEN score >= 76 THEN 'STRONG' WHEN sc
     unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS score,
     unnest([0.15 :: DOUBLE, 0.15, 0.20, 0.15, 0.10, 0.15, 0.10]) AS weight FROM v_risk)""")
 def _(f):
-    return risk.risk_dimensions(f.keeping(*_RISK_LAYERS).risk_scores)
+    return risk.risk_dimensions(f.by_payment(lambda own: own.risk_scores))
 
 
 view("v_allpay", "SELECT payment_id, amount_minor FROM v_payments UNION ALL SELECT payment_id, amount_minor FROM v_opay")

@@ -21,7 +21,7 @@ def odd(spark, tmp_path_factory):
         user, at = i * i % 7, day + timedelta(days=i % 4 * 7, seconds=i * i * 37 % 600)
         rows.append((i, at, user, kinds[i * 3 % 5 if i % 11 else 3], float(i % 5) * 10, f'{{"k": {i * 13 % 100}}}'))
     rows += [rows[3], rows[4], (5, day, 1, "signup", 3.0, '{"k": 8}'), (100, day, None, "signup", 3.0, '{"k": 8}'), (101, None, 2, "click", 3.0, '{"k": 4}'),
-             (102, day, 2, None, 3.0, '{"k": 4}'), (103, day, 2, "signup", None, None), (104, day, 2, "signup", 1.0, '{"k": 22}')]
+             (102, day, 2, None, 3.0, '{"k": 4}'), (103, day, 2, "signup", None, None), (104, day, 2, "signup", 1.0, '{"k": 22}'), (105, day, 99, "signup", 1.0, None)]
     path = str(tmp_path_factory.mktemp("odd"))
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
     return path
@@ -31,6 +31,15 @@ def rows_of(df):
     return sorted(map(repr, df.collect()))
 
 
+def test_folds_in_place_and_spread_are_the_same(spark, odd):
+    from veritrail.operators import canonical
+
+    events = frames.Frames(spark, odd).normalized
+    spread = rows_of(canonical.fold_payments(events))
+    assert spread == rows_of(canonical.fold_payments(events, False))
+    assert not any("pay_99_" in row for row in spread)  # its only event has no time of arrival
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_only_events_are_moved(spark, sf, name):
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -181,6 +181,10 @@ SELECT p.payment_id, evidence_count, source_count, conflict_count, coverage_stat
   JOIN v_structure s ON s.payment_id = p.payment_id) p)""")
 
 
+#: Computed once for all the inputs of a risk score: a row a payment. Observations and claims are many times the input, so they are not written.
+_RISK_LAYERS = ("payments", "conflict_profile")
+
+
 @query("risk_score", """
 SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status, evidence_volume :: DOUBLE AS evidence_volume, source_diversity :: DOUBLE AS source_diversity, consistency :: DOUBLE AS consistency,
   coverage :: DOUBLE AS coverage, freshness :: DOUBLE AS freshness, corroboration :: DOUBLE AS corroboration, conflict_resolution :: DOUBLE AS conflict_resolution, composite :: DOUBLE AS composite,
@@ -190,7 +194,7 @@ SELECT payment_id, evidence_count, source_count, conflict_count, coverage_status
 FROM (SELECT *, concat_ws('; ', CASE WHEN conflict_count > 0 THEN 'resolve conflicts' END, CASE WHEN source_count < 2 THEN 'add sources' END, CASE WHEN freshness < 50 THEN 'refresh evidence' END,
   CASE WHEN coverage_status IN ('INSUFFICIENT', 'PARTIAL') THEN 'complete coverage' END, CASE WHEN composite < 50 THEN 'manual review' END) AS r FROM v_risk)""")
 def _(f):
-    return f.by_payment(lambda own: own.risk_scores).drop("weakest", "strongest")
+    return f.by_payment(lambda own: own.keeping(*_RISK_LAYERS).risk_scores).drop("weakest", "strongest")
 
 
 @query("weakest_strongest", """
@@ -198,7 +202,7 @@ SELECT payment_id, arg_min(d, (s, i)) AS weakest, arg_max(d, (s, -i)) AS stronge
   SELECT payment_id, unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS s,
     unnest(['evidence_volume', 'source_diversity', 'consistency', 'coverage', 'freshness', 'corroboration', 'conflict_resolution']) AS d, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM v_risk) GROUP BY 1""")
 def _(f):
-    return f.by_payment(lambda own: own.risk_scores).select("payment_id", "weakest", "strongest")
+    return f.by_payment(lambda own: own.keeping(*_RISK_LAYERS).risk_scores).select("payment_id", "weakest", "strongest")
 
 
 @query("risk_dimensions", """
@@ -207,7 +211,7 @@ SELECT payment_id, dimension, score, CASE WHEN score >= 76 THEN 'STRONG' WHEN sc
     unnest([evidence_volume :: DOUBLE, source_diversity, consistency, coverage, freshness, corroboration, conflict_resolution]) AS score,
     unnest([0.15 :: DOUBLE, 0.15, 0.20, 0.15, 0.10, 0.15, 0.10]) AS weight FROM v_risk)""")
 def _(f):
-    return risk.risk_dimensions(f.by_payment(lambda own: own.risk_scores))
+    return risk.risk_dimensions(f.by_payment(lambda own: own.keeping(*_RISK_LAYERS).risk_scores))
 
 
 view("v_allpay", "SELECT payment_id, amount_minor FROM v_payments UNION ALL SELECT payment_id, amount_minor FROM v_opay")
